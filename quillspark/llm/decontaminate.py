@@ -110,7 +110,7 @@ class Seeds:
 
 def best_run(equal: np.ndarray, identity: float) -> tuple[int, int, int]:
     """Equal tokens, length and start of the run with the highest score; a mismatch costs as much as identity asks."""
-    gain = np.where(equal, 1.0, -identity / (1 - identity))
+    gain = np.where(equal, 1.0, -round(identity / (1 - identity), 6))
     total = np.concatenate([[0.0], np.cumsum(gain)])
     low = np.minimum.accumulate(total)
     end = int(np.argmax(total - low))

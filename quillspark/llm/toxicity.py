@@ -146,7 +146,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: tuple[int, int]) -
 def incidence(lists: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
     """Which row has which of the sorted codes."""
     out = np.zeros((len(lists), len(columns)), np.float32)
-    for i, codes in enumerate(lists):
+    for i, codes in enumerate(lists if len(columns) else []):
         at = np.searchsorted(columns, codes)
         at[at == len(columns)] = 0
         out[i, at[columns[at] == codes]] = 1
