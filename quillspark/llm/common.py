@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,13 +41,28 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes `df` to the shared folder and reads it back: lineage ends here, and a lost executor costs nothing."""
+def materialize(df: DataFrame, tag: str, paths: list[str] | None = None) -> DataFrame:
+    """Writes `df` to the shared folder and reads it back: lineage ends here, and a lost executor costs nothing.
+
+    The table's path is added to `paths`, for discard().
+    """
     spark, path = df.sparkSession, scratch(df.sparkSession, tag)
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch tables that nothing will read again, and lets Spark drop the shuffles that led to them."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    paths.clear()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The UTF-8 bytes of a text column; null is empty."""
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]

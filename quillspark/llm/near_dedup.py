@@ -6,16 +6,18 @@ that its similarity reaches the threshold falls under `miss`; what is left is ve
 
 No bucket is expanded into all its pairs. Three passes find the links that matter for the components:
 
-1. each class against the least pivot of its buckets (one pair a class);
+1. each class against one pivot (one pair a class). A bucket's pivot is its class with the most bucket mates, and so
+   the one nearest to the others; a class takes the best pivot of its buckets;
 2. each class against the pivots of its other buckets, where the components still differ;
 3. in each bucket that still holds several components, every class outside the bucket's largest component against
-   every class of another component. After this pass no candidate pair between two components is unverified, so the
-   components are those that verifying all candidate pairs would give.
+   every class of another component. Large buckets are cut into blocks of BLOCK_X by BLOCK_Y classes, and a block gives
+   only the pairs that DEEP hashes leave. After this pass no candidate pair between two components is unverified, so
+   the components are those that verifying all candidate pairs would give.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import binary_rows, materialize, small_batches, texts
+from quillspark.llm.common import binary_rows, discard, materialize, small_batches, texts
 
 HASHES, BANDS, ROWS, STEP = 128, 24, 4, 32
+#: Hashes that the third pass compares in large buckets, the classes of a block, and the pairs up to which a bucket is small.
+DEEP, BLOCK_X, BLOCK_Y, FEW = 2048, 256, 1024, 4096
 MEMO = 200_000
 
 SIGNATURE = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, signature binary"
@@ -60,14 +64,14 @@ def shingle_set(text: bytes, size: int, memo: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
-def coefficients() -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.RandomState(20_240_601)
-    draw = lambda: r.randint(0, 2**32, HASHES, dtype=np.uint64) << np.uint64(32) | r.randint(0, 2**32, HASHES, dtype=np.uint64)
+def coefficients(n: int = HASHES) -> tuple[np.ndarray, np.ndarray]:
+    r = np.random.RandomState(20_240_601 + n)
+    draw = lambda: r.randint(0, 2**32, n, dtype=np.uint64) << np.uint64(32) | r.randint(0, 2**32, n, dtype=np.uint64)
     return draw() | np.uint64(1), draw()
 
 
 def minhash(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    best = np.full(HASHES, 2**64 - 1, np.uint64)
+    best = np.full(len(a), 2**64 - 1, np.uint64)
     for i in range(0, len(hashes), 2048):
         best = np.minimum(best, (hashes[i : i + 2048, None] * a + b).min(axis=0))
     return best
@@ -115,7 +119,14 @@ def set_maker(size: int):
     return run
 
 
-def least_matches(threshold: float, miss: float) -> list[int]:
+def deep_signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    a, b = coefficients(DEEP)
+    for batch in batches:
+        deep = [(mix(minhash(np.frombuffer(x, np.uint64), a, b)) >> np.uint64(56)).astype(np.uint8).tobytes() for x in binary_rows(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(deep, pa.binary())], ["set_key", "deep"])
+
+
+def least_matches(threshold: float, miss: float, hashes: int = HASHES) -> list[int]:
     """For n = STEP, 2 STEP ... hashes: the fewest equal ones at which P(similarity >= threshold) is still `miss`.
 
     The similarity has a uniform prior; two unequal hashes agree in their eight kept bits once in 256.
@@ -123,7 +134,7 @@ def least_matches(threshold: float, miss: float) -> list[int]:
     s = np.linspace(0.0005, 0.9995, 2000)
     c = s + (1 - s) / 256
     out = []
-    for n in range(STEP, HASHES + 1, STEP):
+    for n in range(STEP, hashes + 1, STEP):
         tail = []
         for m in range(n + 1):
             log = m * np.log(c) + (n - m) * np.log(1 - c)
@@ -149,6 +160,37 @@ def pruner(threshold: float, miss: float):
     return run
 
 
+def blockwise(threshold: float, miss: float):
+    """Pairs of a block that survive the comparison in steps: of two components, and in their first common bucket."""
+    least = least_matches(threshold, miss, DEEP)
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+        (kx, lx, bx, dx, at, top), (ky, ly, by, dy, _, _) = ([t.column(c).to_pylist() for c in ("set_key", "label", "bands", "deep", "pos", "largest")] for t in (x, y))
+        top, pos = top[0], at[0]
+        number = {k: i for i, k in enumerate({*lx, *ly})}
+        lx, ly = (np.array([number[k] for k in labels]) for labels in (lx, ly))
+        open_ = lx[:, None] != ly
+        order = {k: i for i, k in enumerate(sorted({*kx, *ky}))}
+        after = np.array([order[k] for k in kx])[:, None] < np.array([order[k] for k in ky])
+        open_ &= after | (ly == number.get(top, -1))
+        bx, by = np.array(bx, np.int64), np.array(by, np.int64)
+        for j in range(pos):
+            open_ &= bx[:, j, None] != by[:, j]
+        i, j = np.nonzero(open_)
+        dx, dy = (np.frombuffer(b"".join(d), np.uint8).reshape(-1, DEEP) for d in (dx, dy))
+        equal = np.zeros(len(i), np.int64)
+        for k, m in enumerate(least):
+            part = slice(k * STEP, (k + 1) * STEP)
+            equal += (dx[i, part] == dy[j, part]).sum(axis=1)
+            keep = equal >= m
+            i, j, equal = i[keep], j[keep], equal[keep]
+        return pa.table({"a": pa.array([kx[p] for p in i], pa.binary()), "b": pa.array([ky[p] for p in j], pa.binary())})
+
+    return run
+
+
 def verifier(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,15 +213,15 @@ def attach(pairs: DataFrame, what: DataFrame, column: str) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, put: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
     """node, label: the least node that undirected links (a, b) reach, by least labels and pointer jumps."""
-    edges = materialize(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("a", "b"), "edges")
-    labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    edges = put(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("a", "b"), "edges")
+    labels = put(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        hop = materialize(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label")), "hop")
+        hop = put(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label")), "hop")
         up = hop.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        jump = materialize(hop.join(up, "label").select("node", "old", F.col("top").alias("label")), "labels")
+        jump = put(hop.join(up, "label").select("node", "old", F.col("top").alias("label")), "labels")
         labels = jump.select("node", "label")
         if jump.where("old <> label").isEmpty():
             return labels
@@ -195,61 +237,82 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     component_id is the least doc_id of the component; nulls do not count, and a component of null ids only has null.
     kept: doc_id is component_id (for such a null component: true). An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
+    spark, paths = docs.sparkSession, []
+    put = lambda df, tag: materialize(df, tag, paths)
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
-    signed = materialize(docs.mapInArrow(signer(shingle), SIGNATURE), "signatures")
-    classes = materialize(
+    signed = put(docs.mapInArrow(signer(shingle), SIGNATURE), "signatures")
+    classes = put(
         signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("bands", "signature"))), "classes"
     )
     member = classes.select("set_key", F.explode("bands").alias("band"))
-    buckets = member.groupBy("band").agg(F.count("*").alias("n"), F.min("set_key").alias("pivot")).where("n > 1")
-    shared = materialize(member.join(buckets.select("band", "pivot"), "band"), "buckets")
+    buckets = member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    mates = put(member.join(buckets, "band"), "buckets")
+    weights = mates.groupBy("set_key").agg(F.sum("n").alias("weight"))
+    pivots = mates.join(weights, "set_key").groupBy("band").agg(F.max(F.struct("weight", "set_key")).alias("best"))
+    shared = put(mates.select("set_key", "band").join(pivots, "band").selectExpr("set_key", "band", "best", "best.set_key AS pivot"), "pivots")
 
     compared = shared.select("set_key").distinct()
-    first_ids = materialize(classes.join(compared, "set_key", "left_semi").select("first_id"), "compared")
+    first_ids = put(classes.join(compared, "set_key", "left_semi").select("first_id"), "compared").hint("merge")
     source = docs.join(first_ids, docs.doc_id.eqNullSafe(first_ids.first_id), "left_semi")
-    sets = materialize(source.mapInArrow(set_maker(shingle), "set_key binary, shingles binary"), "sets")
+    sets = put(source.mapInArrow(set_maker(shingle), "set_key binary, shingles binary"), "sets")
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
-        survivors = attach(pairs, classes, "signature").mapInArrow(pruner(percent / 100, miss), "a binary, b binary")
-        survivors = materialize(survivors, f"survivors-{tag}")
+        return exact(attach(pairs, classes, "signature").mapInArrow(pruner(percent / 100, miss), "a binary, b binary"), tag)
+
+    def exact(survivors: DataFrame, tag: str) -> DataFrame:
+        survivors = put(survivors, f"survivors-{tag}")
         links = attach(survivors, sets, "shingles").mapInArrow(verifier(percent), "a binary, b binary")
-        return materialize(links.distinct(), f"links-{tag}")
+        return put(links.distinct(), f"links-{tag}")
 
     def labelled(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
         named = labels.select(F.col("node").alias(node), F.col("label").alias(name))
         return rows.join(named, node, "left").withColumn(name, F.coalesce(name, node))
 
-    links = verified(shared.where("set_key <> pivot").groupBy("set_key").agg(F.min("pivot").alias("a")).select("a", F.col("set_key").alias("b")), "1")
-    labels = components(links)
+    nearest = shared.where("set_key <> pivot").groupBy("set_key").agg(F.max("best").alias("best"))
+    links = verified(nearest.selectExpr("best.set_key AS a", "set_key AS b"), "1")
+    labels = components(links, put)
 
     stars = shared.where("set_key <> pivot").select(F.col("pivot").alias("a"), F.col("set_key").alias("b")).distinct()
     stars = labelled(labelled(stars, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
     links = links.union(verified(stars, "2"))
-    labels = components(links)
+    labels = components(links, put)
 
-    placed = materialize(labelled(shared.select("set_key", "band"), labels, "set_key", "label"), "placed")
+    placed = put(labelled(shared.select("set_key", "band"), labels, "set_key", "label"), "placed")
     sizes = placed.groupBy("band", "label").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band").agg(F.count("*").alias("k"), F.max_by("label", F.struct("n", "label")).alias("largest")).where("k > 1")
-    full = placed.join(mixed.select("band", "largest"), "band").join(classes.select("set_key", "bands"), "set_key")
-    full = materialize(full.withColumn("earlier", F.expr("slice(bands, 1, array_position(bands, band) - 1)")).drop("bands"), "mixed")
-    x = full.where("label <> largest").select("band", F.col("set_key").alias("a"), F.col("label").alias("la"), F.col("earlier").alias("ea"))
-    y = full.select("band", F.col("set_key").alias("b"), F.col("label").alias("lb"), F.col("earlier").alias("eb"), "largest")
+    mixed = sizes.groupBy("band").agg(F.count("*").alias("k"), F.sum("n").alias("ny"), F.max(F.struct("n", "label")).alias("top")).where("k > 1")
+    mixed = mixed.selectExpr("band", "ny - top.n AS nx", "ny", "top.label AS largest")
+    full = placed.join(mixed, "band").join(classes.select("set_key", "bands"), "set_key")
+    full = put(full.withColumn("pos", F.expr("cast(array_position(bands, band) - 1 AS int)")), "mixed")
+    few = full.where(F.col("nx") * F.col("ny") <= FEW).withColumn("earlier", F.expr("slice(bands, 1, pos)"))
+    x = few.where("label <> largest").select("band", F.col("set_key").alias("a"), F.col("label").alias("la"), F.col("earlier").alias("ea"))
+    y = few.select("band", F.col("set_key").alias("b"), F.col("label").alias("lb"), F.col("earlier").alias("eb"), "largest")
     once = "la <> lb AND (lb = largest OR a < b) AND NOT arrays_overlap(ea, eb)"  # a pair counts in its first bucket
     rest = x.join(y, "band").where(once).select("a", "b")
+    many = full.where(F.col("nx") * F.col("ny") > FEW)
+    deep = sets.join(many.select("set_key").distinct(), "set_key", "left_semi").select("set_key", "shingles").mapInArrow(deep_signer, "set_key binary, deep binary")
+    many = many.join(deep, "set_key").withColumns({"wx": F.ceil(F.col("nx") / BLOCK_X), "wy": F.ceil(F.col("ny") / BLOCK_Y)})
+    deal = lambda rows, own, other, n, m: rows.withColumn(own, F.pmod(F.xxhash64("set_key"), F.col(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1)))
+    columns = lambda: [F.col(c).alias(c) for c in ("set_key", "label", "bands", "deep", "pos", "largest", "band", "i", "j")]
+    x = deal(many.where("label <> largest"), "i", "j", "wx", "wy").select(*columns()).groupBy("band", "i", "j")
+    y = deal(many, "j", "i", "wy", "wx").select(*columns()).groupBy("band", "i", "j")
+    blocks = x.cogroup(y).applyInArrow(blockwise(percent / 100, miss), "a binary, b binary")
+    links = links.union(exact(blocks, "4"))
     links = links.union(verified(rest, "3"))
-    labels = components(links)
+    labels = components(links, put)
 
     keyed = labelled(classes.select("set_key", "first_id"), labels, "set_key", "label")
-    least = keyed.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    least = put(keyed.groupBy("label").agg(F.min("first_id").alias("component_id")), "least")  # so that a hot label's join can be split
     of = keyed.join(least, "label").select("set_key", "component_id")
     linked = signed.where("n_shingles > 0").select("doc_id", "n_shingles", "set_key").join(of, "set_key").select("doc_id", "n_shingles", "component_id")
     alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.expr("doc_id <=> component_id"))
+    result = materialize(linked.union(alone).withColumn("kept", F.expr("doc_id <=> component_id")), "near-duplicates")
+    discard(spark, paths)
+    return result
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs`, all columns, whose doc_id is the least of its component. Rows of one doc_id all stay if any is kept; among rows without an id, those outside any component with ids stay."""
     kept = near_duplicates(docs, shingle, percent).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    kept = materialize(kept, "kept")
+    kept = materialize(kept, "kept").hint("merge")
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept_id"]), "left_semi")
