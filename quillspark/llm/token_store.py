@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,33 +24,73 @@ from quillspark.llm.ordered import bounds, range_of
 
 END_ID = 1
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "10000", "orc.create.index": "true", "orc.stripe.size": str(64 << 20), "compression": "zstd"}
-MEMO = 300_000
+MEMO = 600_000
 ROWS = "shard int, doc_id bigint, start_in_shard bigint, n_tokens int, ids array<int>"
-#: White space at which a text may be cut: the tokenizer's own pattern drops it and no rule reaches over it.
-SPACE = re.compile(r"[ \t\n\r]+")
+#: Stretches whose normal form and words are plain: printable ASCII and Latin-1 letters. In them lower-casing goes letter
+#: by letter, nothing composes, and the words are those of the tokenizer's published pattern.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
 
 
-class Encoder:
-    """Ids of whole texts, by encoding each distinct stretch between white space once.
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: visible Latin-1 ones for themselves, the rest from U+0100 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in visible else chr(next(rest)) for b in range(256)]
 
-    Only for tokenizers whose normalizer and pre-tokenizer look at no character beyond white space (word_bpe_49k).
+
+class Words(dict):
+    """Plain word in lower case -> its ids as little-endian bytes, from the library's model; a bounded number is kept."""
+
+    def __init__(self, model):
+        self.model, self.letters = model, {i: c for i, c in enumerate(byte_letters()) if chr(i) != c}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MEMO:
+            self.clear()
+        written = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        self[word] = out = array("i", [t.id for t in self.model.tokenize(written)]).tobytes()
+        return out
+
+
+class Encoder(dict):
+    """Stretch between ASCII white space (UTF-8) -> its ids as little-endian bytes; each distinct stretch is encoded once.
+
+    The tokenizer's own pattern drops white space and none of its rules reaches over it. Plain stretches go word by word
+    to the library's model, others to its whole pipeline. Only for byte-level tokenizers with this normalizer and
+    pattern (word_bpe_49k).
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words = Words(self.tokenizer.model)
+
+    def __missing__(self, raw: bytes) -> bytes:
+        if len(self) >= MEMO:
+            self.clear()
+        stretch = raw.decode()
+        if PLAIN.fullmatch(stretch) and "<|" not in stretch:
+            low = stretch.lower()
+            out = self.words[low] if low.isalpha() else b"".join(map(self.words.__getitem__, WORDS.findall(low)))
+        else:
+            out = array("i", self.tokenizer.encode(stretch, add_special_tokens=False).ids).tobytes()
+        self[raw] = out
+        return out
+
+    def encode(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, text.split()))
+
+
+def encoder(path: str) -> Encoder:
+    """The worker process's own: later tasks in it find the words that earlier ones met."""
+    import tokenizers
 
-    def encode(self, many: list[str]) -> list[list[int]]:
-        split = [SPACE.split(x) for x in many]
-        known = self.known
-        new = list(dict.fromkeys(w for words in split for w in words if w not in known))
-        if len(known) + len(new) > MEMO:
-            known.clear()
-            new = list(dict.fromkeys(w for words in split for w in words))
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[w] = e.ids
-        return [[i for w in words for i in known[w]] for words in split]
+    kept = tokenizers.__dict__.setdefault("_quillspark_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
@@ -67,21 +107,20 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
-        encoder, shard, before = Encoder(tokenizer), None, 0
+        encode, shard, before, end = encoder(tokenizer).encode, None, 0, array("i", [end_id]).tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
-                ids = encoder.encode([x.decode() for x in texts(batch)])
+                ids = [encode(x) + end for x in texts(batch)]
                 starts, lengths = [], []
                 for s, x in zip(batch.column(0).to_pylist(), ids, strict=True):
                     if s != shard:
                         shard, before = s, 0
-                    x.append(end_id)
                     starts.append(before)
-                    lengths.append(len(x))
-                    before += len(x)
+                    lengths.append(len(x) // 4)
+                    before += lengths[-1]
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, offsets[-1]))
+                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(starts, pa.int64()), pa.array(lengths, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
                     ["shard", "doc_id", "start_in_shard", "n_tokens", "ids"],
