@@ -51,7 +51,11 @@ def resolve(records: DataFrame) -> DataFrame:
     opening = chunks.withColumn("opening", F.last("final", ignorenulls=True).over(earlier)["record_id"]).select("url_key", "chunk", "opening")
     placed = filled.join(opening, ["url_key", "chunk"]).withColumn("response_id", F.coalesce("found.record_id", "opening"))
     responses = rows.where("full").dropDuplicates(["record_id"]).select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"))
-    joined = placed.drop("found").join(responses, "response_id", "left")
+    responses = responses.hint("rebalance")  # an exchange of its own, so that a hot response's join can be split
+    placed = placed.select("record_id", "url_key", "response_id", "headers")
+    # Revisits without a response join nothing: as nulls they would all meet in one task.
+    joined = placed.where("response_id IS NOT NULL").join(responses, "response_id", "left")
+    joined = joined.unionByName(placed.where("response_id IS NULL").withColumn("stored", F.lit(None).cast("map<string,string>")))
     has = lambda name: F.col("headers")[name].isNotNull()
     same = lambda name: ~has(name) | F.coalesce(F.col("headers")[name] == F.col("stored")[name], F.lit(False))
     status = F.when(F.col("response_id").isNull(), "no_response").when(~has("etag") & ~has("last-modified"), "no_validator").when(~(same("etag") & same("last-modified")), "mismatch").otherwise("resolved")
