@@ -100,3 +100,46 @@ def merge_books(books: DataFrame, notes: DataFrame, losers: DataFrame, now_ms: i
     kept = books.join(earliest, "id").withColumn("created_at", F.least("created_at", "__first")).withColumn("updated_at", F.greatest(F.lit(now_ms).cast("bigint"), F.col("updated_at") + 1)).drop("__first")
     moved = live(notes).join(valid.select(F.col("id").alias("book_id"), "survivor"), "book_id").withColumn("book_id", F.col("survivor")).withColumn("content_tag", F.lit(None).cast("string")).drop("survivor")
     return {"losers": gone.drop("survivor"), "survivors": kept, "notes": moved}
+
+
+def tag_heal(notes: DataFrame, key: bytes) -> DataFrame:
+    """Live notes with a text and no content tag, with the tag; their stamps stay."""
+    from quillspark.functions import sealing, text
+
+    rows = live(notes).where("coalesce(content_tag, '') = '' AND text IS NOT NULL").where(~sealing.is_sealed(F.col("text")))
+    return rows.withColumn("content_tag", sealing.content_tag(key, text.normalized(F.col("text")), F.col("book_id")))
+
+
+def merge_notes(notes: DataFrame, clusters: DataFrame, now_ms: int) -> dict[str, DataFrame]:
+    """clusters: id, survivor (duplicate_clusters gives them). Survivors take the union of the tags and, if they have none, the first loser's image; losers are deleted.
+
+    A cluster's losers are folded in order of (created_at, id).
+    """
+    losers = notes.join(clusters.where("id <> survivor").select("id", "survivor"), "id")
+    stamp = F.greatest(F.lit(now_ms).cast("bigint"), F.col("updated_at") + 1)
+    folded = losers.groupBy(F.col("survivor").alias("id")).agg(F.sort_array(F.collect_list(F.struct("created_at", "id", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "image_path"))).alias("__l"))
+    kept = notes.join(folded, "id")
+    tags = F.flatten(F.transform("__l", lambda x: F.filter(x["tags"], lambda t: t.isNotNull())))
+    image = F.get(F.filter(F.transform("__l", lambda x: x["image_path"]), lambda p: F.coalesce(p, F.lit("")) != ""), F.lit(0))
+    kept = kept.withColumn("tags", union_tags(F.coalesce("tags", F.array().cast("array<string>")), tags))
+    kept = kept.withColumn("image_path", F.when(F.coalesce("image_path", F.lit("")) == "", image).otherwise(F.col("image_path")))
+    return {"survivors": kept.withColumn("updated_at", stamp).drop("__l"), "losers": losers.withColumn("deleted", F.lit(True)).withColumn("updated_at", stamp).drop("survivor")}
+
+
+def moved_memberships(memberships: DataFrame, moved: DataFrame, now_ms: int) -> dict[str, DataFrame]:
+    """moved: id, survivor. The losers' live memberships are deleted; each collection has one live membership of the survivor, an old one's created_at kept."""
+    gone = live(memberships).join(moved.select(F.col("id").alias("note_id"), "survivor"), "note_id")
+    stamp = F.greatest(F.lit(now_ms).cast("bigint"), F.col("updated_at") + 1)
+    wanted = gone.groupBy("collection_id", F.col("survivor").alias("note_id")).agg(F.min("created_at").alias("__first"))
+    there = memberships.select("collection_id", "note_id", F.col("created_at").alias("__old"), F.col("updated_at").alias("__at"), F.col("deleted").alias("__gone"))
+    joined = wanted.join(there, ["collection_id", "note_id"], "left").where("__gone IS NULL OR __gone")
+    made = joined.select(
+        F.concat_ws(":", "collection_id", "note_id").alias("id"), "note_id", "collection_id", F.coalesce("__old", "__first").alias("created_at"), F.greatest(F.lit(now_ms).cast("bigint"), F.col("__at") + 1).alias("updated_at"), F.lit(False).alias("deleted")
+    )
+    return {"deleted": gone.withColumn("deleted", F.lit(True)).withColumn("updated_at", stamp).drop("survivor"), "ensured": made}
+
+
+def unmerge_books(books: DataFrame, token: DataFrame, now_ms: int) -> DataFrame:
+    """token: id, survivor, as a merge left it. Losers that still point at that survivor come back."""
+    rows = books.join(token.select("id", "survivor"), "id").where("deleted AND merged_into = survivor")
+    return rows.withColumn("deleted", F.lit(False)).withColumn("merged_into", F.lit(None).cast("string")).withColumn("updated_at", F.greatest(F.lit(now_ms).cast("bigint"), F.col("updated_at") + 1)).drop("survivor")
