@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import best_weight, stems
+from quillspark.functions.text import match_weight, stem, stems, tokens
 from quillspark.operators.reads import live
 
 
@@ -22,21 +22,32 @@ def query_terms(spark, query: str) -> list[str]:
     return list(dict.fromkeys(found))
 
 
-def scored(docs: DataFrame, query: str) -> DataFrame:
-    """`docs` (with title and content) and their score: over the query's terms, the sum of the better of twice the title's and once the content's weight, times the number of terms that match; without matches left out."""
+def scored(docs: DataFrame, query: str, keys: tuple[str, ...] = ("kind", "ref_id")) -> DataFrame:
+    """keys, score for the documents that match: over the query's terms, the sum of the better of twice the title's and once the content's weight, times the number of terms that match.
+
+    Every token is a row, which keeps its stem and weights in generated code; a document's rows are combined where they
+    are made, so one row for each document is shuffled.
+    """
     terms = query_terms(docs.sparkSession, query)
-    rows = docs.withColumn("__title", stems(F.col("title"))).withColumn("__content", stems(F.col("content")))
-    best = [F.greatest(best_weight(F.lit(t), F.col("__title")) * 2, best_weight(F.lit(t), F.col("__content"))) for t in terms]
-    if not best:
-        return docs.withColumn("score", F.lit(0.0)).limit(0)
-    rows = rows.withColumn("__w", F.array(*best))
-    total = F.aggregate("__w", F.lit(0.0), lambda s, w: s + w)
-    return rows.withColumn("score", total * F.size(F.filter("__w", lambda w: w > 0))).where("score > 0").drop("__title", "__content", "__w")
+    if not terms:
+        return docs.select(*keys).withColumn("score", F.lit(0.0)).limit(0)
+    fields = F.array(F.struct(tokens(F.col("title")).alias("tokens"), F.lit(2.0).alias("factor")), F.struct(tokens(F.col("content")).alias("tokens"), F.lit(1.0).alias("factor")))
+    rows = docs.select(*keys, F.explode(fields).alias("f")).select(*keys, "f.factor", F.explode("f.tokens").alias("token"))
+    rows = rows.select(*keys, "factor", stem(F.col("token")).alias("stem"))
+    names = [f"__w{i}" for i in range(len(terms))]
+    rows = rows.select(*keys, *((match_weight(F.lit(t), F.col("stem")) * F.col("factor")).alias(n) for t, n in zip(terms, names, strict=True)))
+    best = rows.groupBy(*keys).agg(*(F.max(n).alias(n) for n in names)).where(" OR ".join(f"{n} > 0" for n in names))
+    total, matched = F.lit(0.0), F.lit(0)
+    for n in names:
+        total, matched = total + F.col(n), matched + (F.col(n) > 0).cast("int")
+    return best.select(*keys, (total * matched).alias("score"))
 
 
 def search(docs: DataFrame, query: str, limit: int) -> DataFrame:
-    """The best documents; equal scores keep the corpus order: notes before ideas, each newest first."""
+    """The best documents; equal scores keep the corpus order: notes before ideas, each newest first. (kind, ref_id) is unique in `docs`."""
     if limit <= 0 or not query.strip():
         return docs.withColumn("score", F.lit(0.0)).withColumn("snippet", F.lit("")).limit(0)
-    rows = scored(docs, query).withColumn("snippet", F.when(F.col("content") == "", F.col("title")).otherwise(F.col("content")))
-    return rows.orderBy(F.desc("score"), F.desc(F.col("kind") == "note"), F.desc("created_at"), F.desc("ref_id")).limit(limit)
+    order = [F.desc("score"), F.desc(F.col("kind") == "note"), F.desc("created_at"), F.desc("ref_id")]
+    found = scored(docs, query, ("kind", "ref_id", "created_at")).orderBy(*order).limit(limit)
+    rows = docs.join(F.broadcast(found.drop("created_at")), ["kind", "ref_id"])  # `limit` rows
+    return rows.withColumn("snippet", F.when(F.col("content") == "", F.col("title")).otherwise(F.col("content"))).orderBy(*order)

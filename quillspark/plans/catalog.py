@@ -361,13 +361,27 @@ SELECT id, round((2 * a + 2 * b + 2 * c) * ((a > 0)::INT + (b > 0)::INT + (c > 0
 )
 def fuzzy_scores(spark, sf_dir):
     docs = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.lit("").alias("content"))
-    return search.scored(docs, "red ring widgt").select("id", F.round("score", 6).alias("score"))
+    return search.scored(docs, "red ring widgt", ("id",)).select("id", F.round("score", 6).alias("score"))
+
+
+def _search_oracle(terms: list[str]) -> str:
+    columns = ", ".join(f"{_weight(q)[:-1]} * f) AS w{i}" for i, q in enumerate(terms))
+    total, matched = " + ".join(f"w{i}" for i in range(len(terms))), " + ".join(f"(w{i} > 0)::INT" for i in range(len(terms)))
+    return (
+        rf"""WITH {TEXTS}, d AS (SELECT 'note' AS kind, id AS ref_id, '' AS title, trim(text) AS content, created_at FROM texts WHERE NOT deleted AND trim(text) <> ''
+UNION ALL SELECT 'custom_idea', p_partkey, p_name, '', p_partkey FROM part),
+k AS (SELECT kind, ref_id, created_at, 2.0::DOUBLE AS f, lower(unnest(regexp_split_to_array(title, '[\n\r\p{{Z}}\p{{P}}]+'))) AS w FROM d UNION ALL SELECT kind, ref_id, created_at, 1.0::DOUBLE, lower(unnest(regexp_split_to_array(content, '[\n\r\p{{Z}}\p{{P}}]+'))) FROM d),
+p AS (SELECT *, {_PLURAL} AS p FROM k WHERE w <> ''), s AS (SELECT kind, ref_id, created_at, f, {_STEM} AS t FROM p),
+w AS (SELECT kind, ref_id, created_at, {columns} FROM s GROUP BY ALL),
+r AS (SELECT *, ({total}) * ({matched}) AS score FROM w WHERE {total} > 0)
+SELECT kind, ref_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, kind = 'note' DESC, created_at DESC, ref_id DESC) AS rank FROM r QUALIFY rank <= 50"""
+    )
 
 
-@query()
+@query(_search_oracle(["ring", "inst"]))
 def lexical_search(spark, sf_dir):
     ideas = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("").alias("description"), F.col("p_partkey").alias("created_at"), F.lit(False).alias("deleted"))
-    found = search.search(search.search_docs(roles.texts(spark, sf_dir), ideas), "the rings", 50)
+    found = search.search(search.search_docs(roles.texts(spark, sf_dir), ideas), "rings inst", 50)
     return ranked(found.select("kind", "ref_id", F.round("score", 6).alias("score"), "created_at"), F.desc("score"), F.desc(F.col("kind") == "note"), F.desc("created_at"), F.desc("ref_id")).drop("created_at")
 
 
