@@ -11,6 +11,7 @@ The fit sees a bounded sample of labelled rows (SAMPLE a class, least hashes of
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import filter_rows, small_batches, texts
 
 #: Labelled rows that the fit takes, by label: at most so many clean and so many toxic ones.
-SAMPLE = (5000, 3000)
+SAMPLE = (4000, 2500)
 MEMO = 200_000
 THRESHOLD = 0.7
 #: Voters taken from the training rows, features of the classifier, and the documents that must hold a feature.
@@ -138,7 +139,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: tuple[int, int]) -
             yield pa.RecordBatch.from_arrays([batch.column(0), label, pa.array(votes, pa.binary()), pa.array(features, pa.binary())], ["doc_id", "label", "votes", "features"])
 
     got = rows.mapInArrow(run, "doc_id bigint, label int, votes binary, features binary").collect()
-    got = sorted(got, key=lambda r: (r["doc_id"], bytes(r["votes"]), bytes(r["features"])))
+    got.sort(key=lambda r: (r["doc_id"], bytes(r["votes"]), zlib.crc32(r["features"])))
     rate = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     return [(r["label"], np.frombuffer(r["votes"], np.uint8), np.frombuffer(r["features"], np.uint32)) for r in got], rate
 
@@ -153,14 +154,13 @@ def incidence(lists: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def informative(y: np.ndarray, features: list[np.ndarray], rate: float) -> tuple[np.ndarray, np.ndarray]:
+def informative(y: np.ndarray, features: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The feature codes that mark toxic texts, and how surely: a lower bound of their log odds over the base rate."""
-    codes = np.concatenate(features) if features else np.empty(0, np.uint32)
-    owner = np.repeat(y, [len(f) for f in features])
-    all_codes, n = np.unique(codes, return_counts=True)
-    toxic = np.zeros(len(all_codes))
-    hit, hits = np.unique(codes[owner == 1], return_counts=True)
-    toxic[np.searchsorted(all_codes, hit)] = hits
+    marked = [np.unique(np.concatenate([f for f, label in zip(features, y, strict=True) if label == k]), return_counts=True) for k in (0, 1)]
+    (clean, n_clean), (all_codes, toxic) = marked  # only codes of toxic texts can mark them
+    n = toxic.copy()
+    both, i, j = np.intersect1d(all_codes, clean, assume_unique=True, return_indices=True)
+    n[i] += n_clean[j]
     p, q = (toxic + 0.5) / ((y == 1).sum() + 1), (n - toxic + 0.5) / ((y == 0).sum() + 1)
     bound = np.log(p / q) - 1.64 * np.sqrt(1 / (toxic + 0.5) + 1 / (n - toxic + 0.5))
     keep = (toxic >= SUPPORT) & (bound > 0.7)
@@ -222,12 +222,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
     if not len(y) or y.min() == y.max():
         p = min(rate, 0.5)
         return Model(float(np.log(p / (1 - p))), {})
+    given = np.array([r[1] for r in rows], np.float64)
     features = [r[2] for r in rows]
-    codes, bound = informative(y, features, rate)
+    del rows
+    codes, _ = informative(y, features)
     columns = np.sort(codes)
     x = incidence(features, columns)
+    del features
     mined = x[:, np.searchsorted(columns, codes[:MINED])]
-    given = np.array([r[1] for r in rows], np.float64)
     share = y.mean()
     post = label_model(np.column_stack([given, mined]), y, share)
     weight = np.where(post > 0.5, rate / share, (1 - rate) / (1 - share))  # back from the sample's share to the rows' own
