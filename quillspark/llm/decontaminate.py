@@ -46,14 +46,21 @@ def token_hashes(text: str, memo: TokenHashes) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, tokens), np.uint64, len(tokens))
 
 
-def window_hashes(h: np.ndarray, offsets: tuple[int, ...], span: int, salt: int) -> np.ndarray:
-    n = max(len(h) - span + 1, 0)
-    out = np.full(n, salt + 1, np.uint64)
-    if not n:
-        return out
-    for o in offsets:
-        out = (out ^ h[o : o + n]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
+#: A factor for each place in a mask, so that order counts.
+FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(SPAN)]
+
+
+def scaled(h: np.ndarray) -> list[np.ndarray]:
+    """The tokens' hashes times each place's factor, which all masks share."""
+    return [h * f for f in FACTORS]
+
+
+def window_hashes(places: list[np.ndarray], offsets: tuple[int, ...], span: int, salt: int) -> np.ndarray:
+    """A hash of the tokens under the mask for each window: their hashes times the factors of their places in it."""
+    n = max(len(places[0]) - span + 1, 0)
+    out = np.full(n, salt * 0x51_7CC1_B727_220B, np.uint64)
+    for place, o in zip(places, offsets, strict=False):
+        out += place[o : o + n]
     return out
 
 
@@ -75,7 +82,7 @@ class Seeds:
         for k, (offsets, width) in enumerate(self.masks):
             for i, h in enumerate(self.tokens):
                 if width == span or len(h) == width:
-                    w = window_hashes(h, offsets, width, k)
+                    w = window_hashes(scaled(h), offsets, width, k)
                     hashes.append(w)
                     where.append(np.stack([np.full(len(w), i), np.arange(len(w))], axis=1))
         self.hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
@@ -87,12 +94,19 @@ class Seeds:
 
     def diagonals(self, h: np.ndarray) -> set[tuple[int, int]]:
         """(item, document position minus item position) of every equal window."""
-        found = set()
+        found, places = set(), scaled(h)
         for k, (offsets, width) in enumerate(self.masks):
-            w = window_hashes(h, offsets, width, k)
-            for p in np.nonzero(self.bits[w >> np.uint64(44)])[0]:
-                lo, hi = np.searchsorted(self.hashes, w[p], "left"), np.searchsorted(self.hashes, w[p], "right")
-                found.update((int(i), int(p) - int(q)) for i, q in self.where[lo:hi])
+            w = window_hashes(places, offsets, width, k)
+            at = np.nonzero(self.bits[w >> np.uint64(44)])[0]
+            if not len(at):
+                continue
+            low = np.searchsorted(self.hashes, w[at])
+            hit = low < len(self.hashes)
+            hit[hit] = self.hashes[low[hit]] == w[at[hit]]
+            for p, lo in zip(at[hit].tolist(), low[hit].tolist(), strict=True):
+                while lo < len(self.hashes) and self.hashes[lo] == w[p]:
+                    found.add((int(self.where[lo, 0]), p - int(self.where[lo, 1])))
+                    lo += 1
         return found
 
     def overlaps(self, h: np.ndarray, min_matches: int, min_identity: float) -> list[tuple[int, int, int, int]]:
