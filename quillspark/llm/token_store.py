@@ -24,7 +24,7 @@ from quillspark.llm.ordered import bounds, range_of
 
 END_ID = 1
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "10000", "orc.create.index": "true", "orc.stripe.size": str(64 << 20), "compression": "zstd"}
-MEMO = 600_000
+MEMO = 1_000_000
 ROWS = "shard int, doc_id bigint, start_in_shard bigint, n_tokens int, ids array<int>"
 #: Stretches whose normal form and words are plain: printable ASCII and Latin-1 letters. In them lower-casing goes letter
 #: by letter, nothing composes, and the words are those of the tokenizer's published pattern.
@@ -39,43 +39,35 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(next(rest)) for b in range(256)]
 
 
-class Words(dict):
-    """Plain word in lower case -> its ids as little-endian bytes, from the library's model; a bounded number is kept."""
-
-    def __init__(self, model):
-        self.model, self.letters = model, {i: c for i, c in enumerate(byte_letters()) if chr(i) != c}
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        written = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        self[word] = out = array("i", [t.id for t in self.model.tokenize(written)]).tobytes()
-        return out
-
-
 class Encoder(dict):
     """Stretch between ASCII white space (UTF-8) -> its ids as little-endian bytes; each distinct stretch is encoded once.
 
     The tokenizer's own pattern drops white space and none of its rules reaches over it. Plain stretches go word by word
-    to the library's model, others to its whole pipeline. Only for byte-level tokenizers with this normalizer and
-    pattern (word_bpe_49k).
+    to the library's model, words that were stretches before from memory; others go to its whole pipeline. Only for
+    byte-level tokenizers with this normalizer and pattern (word_bpe_49k). A bounded number of stretches is kept.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Words(self.tokenizer.model)
+        self.model = self.tokenizer.model
+        self.letters = {i: c for i, c in enumerate(byte_letters()) if chr(i) != c}
 
     def __missing__(self, raw: bytes) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
         stretch = raw.decode()
         if PLAIN.fullmatch(stretch) and "<|" not in stretch:
             low = stretch.lower()
-            out = self.words[low] if low.isalpha() else b"".join(map(self.words.__getitem__, WORDS.findall(low)))
+            words = [low] if low.isalpha() else WORDS.findall(low)
+            if len(words) == 1:
+                written = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+                out = array("i", [t.id for t in self.model.tokenize(written)]).tobytes()
+            else:
+                out = b"".join([self[w.encode()] for w in words])
         else:
             out = array("i", self.tokenizer.encode(stretch, add_special_tokens=False).ids).tobytes()
+        if len(self) >= MEMO:
+            self.clear()
         self[raw] = out
         return out
 
