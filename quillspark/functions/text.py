@@ -58,10 +58,6 @@ def match_weight(query: Column, term: Column) -> Column:
     return F.when(query == term, 1.0).when(term.startswith(query), prefix).otherwise(fuzzy)
 
 
-def best_weight(query: Column, terms: Column) -> Column:
-    return F.coalesce(F.array_max(F.transform(F.array_distinct(terms), lambda t: match_weight(query, t))), F.lit(0.0))
-
-
 @F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))

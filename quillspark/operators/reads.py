@@ -69,10 +69,21 @@ def fresh_notes(notes: DataFrame, now_ms: int, failed: Column | None = None) ->
 def ordinal(rows: DataFrame, n: int, key: str = "id") -> DataFrame:
     """The row at place n modulo the number of rows, newest first; none of no rows.
 
-    Places come from an index by day and a rank within it, so no task ranks all rows.
+    The place is narrowed by counts a day, then an hour, then a second, so that no task ranks all rows.
     """
     total = rows.count()
-    return newest_first(rows, key).offset(n % total).limit(1) if total else rows.limit(0)
+    if not total:
+        return rows.limit(0)
+    place = n % total
+    for width in (86_400_000, 3_600_000, 1_000):  # one count for each day, then at most 24 and 3600
+        bucket = F.floor(F.col("created_at") / width)
+        sizes = rows.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).orderBy(F.desc_nulls_last("b")).collect()
+        for b, size in sizes:
+            if place < size:
+                rows = rows.where(bucket.eqNullSafe(F.lit(b)))
+                break
+            place -= size
+    return newest_first(rows, key).offset(place).limit(1)
 
 
 def tag_tally(notes: DataFrame) -> DataFrame:

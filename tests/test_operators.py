@@ -35,6 +35,13 @@ def test_tally_counts_each_occurrence(spark):
     assert [r.id for r in reads.untagged_notes(n).collect()] == ["c"]
 
 
+def test_ordinal(spark):
+    n = notes(spark, *({"id": f"{i:02d}", "created_at": t} for i, t in enumerate([None, 5, 5, 86_400_000, 86_400_001, 90_000_000, 90_000_000, 9])))
+    order = [r.id for r in reads.newest_first(n).collect()]
+    assert [reads.ordinal(n, 8 + i).first().id for i in range(8)] == order
+    assert reads.ordinal(n.limit(0), 3).count() == 0
+
+
 FEED = "id string, change_seq bigint, updated_at bigint, deleted boolean"
 
 
