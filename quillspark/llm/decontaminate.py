@@ -2,13 +2,15 @@
 
 A seed is a fixed mask over SPAN tokens that ignores some positions, so a substituted token spoils only the windows in
 which a mask reads it. Window hashes of the benchmark form a sorted table; every training window is looked up in it,
-and each hit is verified along its diagonal: the best run of aligned tokens, mismatches allowed, decides.
+and each hit is verified along its diagonal: any run of aligned tokens, mismatches allowed, may decide.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from fractions import Fraction
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ MASKS = ((0, 1, 2, 4, 7, 8), (0, 1, 3, 5, 6, 8), (0, 2, 3, 4, 6, 8), (0, 1, 4, 5
 SPAN = 9
 #: Benchmark tokens that one pass holds in memory; a larger benchmark takes several passes over the documents.
 BLOCK_TOKENS = 2_000_000
-#: Aligned equal tokens that make an overlap (all of them for shorter items), and the least share of them in the run.
+#: Aligned equal tokens that make an overlap (at most the share of the item's), and the least share of them in the run.
 MIN_MATCHES, MIN_IDENTITY = 12, 0.8
 #: Items of fewer tokens are no evidence and are not searched.
 MIN_ITEM = 5
@@ -49,6 +51,9 @@ def token_hashes(text: str, memo: TokenHashes) -> np.ndarray:
 #: A factor for each place in a mask, so that order counts.
 FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(SPAN)]
 
+#: Stands before and after a document's tokens and equals none.
+BEYOND = np.zeros(1, np.uint64)
+
 
 def scaled(h: np.ndarray) -> list[np.ndarray]:
     """The tokens' hashes times each place's factor, which all masks share."""
@@ -76,8 +81,8 @@ class Seeds:
                 self.ids.append(item_id)
                 self.tokens.append(h)
         lengths = sorted({len(h) for h in self.tokens if len(h) < span})
-        #: (offsets, span): the masks, and for items shorter than them all of their tokens at once.
-        self.masks = [(m, span) for m in masks] + [(tuple(range(n)), n) for n in lengths]
+        #: (offsets, span): the masks, and for items shorter than them all of their tokens but one, which may differ.
+        self.masks = [(m, span) for m in masks] + [(tuple(o for o in range(n) if o != left), n) for n in lengths for left in range(n)]
         hashes, where = [], []
         for k, (offsets, width) in enumerate(self.masks):
             for i, h in enumerate(self.tokens):
@@ -94,7 +99,7 @@ class Seeds:
 
     def diagonals(self, h: np.ndarray) -> set[tuple[int, int]]:
         """(item, document position minus item position) of every equal window."""
-        found, places = set(), scaled(h)
+        found, places = set(), scaled(np.concatenate([BEYOND, h, BEYOND]))  # a short item's odd token may lie outside
         for k, (offsets, width) in enumerate(self.masks):
             w = window_hashes(places, offsets, width, k)
             at = np.nonzero(self.bits[w >> np.uint64(44)])[0]
@@ -105,31 +110,43 @@ class Seeds:
             hit[hit] = self.hashes[low[hit]] == w[at[hit]]
             for p, lo in zip(at[hit].tolist(), low[hit].tolist(), strict=True):
                 while lo < len(self.hashes) and self.hashes[lo] == w[p]:
-                    found.add((int(self.where[lo, 0]), p - int(self.where[lo, 1])))
+                    found.add((int(self.where[lo, 0]), p - 1 - int(self.where[lo, 1])))
                     lo += 1
         return found
 
     def overlaps(self, h: np.ndarray, min_matches: int, min_identity: float) -> list[tuple[int, int, int, int]]:
         """(item, equal tokens, aligned tokens, start) of each item's best overlap that is good enough."""
         best: dict[int, tuple[int, int, int]] = {}
+        share = Fraction(str(min_identity))
         for i, d in self.diagonals(h):
             item = self.tokens[i]
             lo, hi = max(0, -d), min(len(item), len(h) - d)
             equal = h[lo + d : hi + d] == item[lo:hi]
-            n, length, at = best_run(equal, min_identity)
-            if n >= min(min_matches, len(item)) and n >= min_identity * length and (n, -length, -at - lo - d) > best.get(i, (0, 0, 0)):
+            n, length, at = best_run(equal, share)
+            if n >= min(min_matches, ceil(share * len(item))) and (n, -length, -at - lo - d) > best.get(i, (0, 0, 0)):
                 best[i] = (n, -length, -at - lo - d)
         return [(i, n, -length, -at) for i, (n, length, at) in sorted(best.items())]
 
 
-def best_run(equal: np.ndarray, identity: float) -> tuple[int, int, int]:
-    """Equal tokens, length and start of the run with the highest score; a mismatch costs as much as identity asks."""
-    gain = np.where(equal, 1.0, -round(identity / (1 - identity), 6))
-    total = np.concatenate([[0.0], np.cumsum(gain)])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.argmin(total[: end + 1]))
-    return int(equal[start:end].sum()), end - start, start
+def best_run(equal: np.ndarray, share: Fraction) -> tuple[int, int, int]:
+    """Equal tokens, length and start of the run with the most equal tokens of all with at least `share` of them equal.
+
+    Ties go to the shortest, then the first. In whole numbers: such a run's end has a balance not below its start's, so
+    each end's best start is the first with a balance that low.
+    """
+    count = np.concatenate([[0], np.cumsum(equal)])
+    balance = share.denominator * count - share.numerator * np.arange(len(count))
+    start = np.searchsorted(-np.minimum.accumulate(balance), -balance)
+    n = count - count[start]
+    most = int(n.max())
+    if not most:
+        return 0, 0, 0
+    where = np.nonzero(equal)[0]
+    # a run's first and last tokens are equal ones: the one after its start, the one before its end
+    ends = np.nonzero(n == most)[0]
+    first, last = where[count[start[ends]]], where[count[ends] - 1]
+    k = int(np.argmin(last - first))
+    return most, int(last[k] - first[k]) + 1, int(first[k])
 
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_TOKENS) -> Iterator[Seeds]:
@@ -149,8 +166,10 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, min_matches: int =
     """doc_id, item_id, n_matched, n_aligned, identity, doc_start (in tokens): every overlap, one row a pair.
 
     Tokens are lower-cased runs of letters and digits. A pair counts if some run aligned without gaps has at least
-    min_matches equal tokens (an item with fewer: all of its tokens) and at least min_identity equal ones. Null, empty
-    and token-free texts match nothing, as do items of under MIN_ITEM tokens; with an empty table there are no rows.
+    min_matches equal tokens (or min_identity of the item's tokens, if that is fewer) and at least min_identity equal
+    ones. Its diagonal must have an equal window under some mask; for items shorter than the masks that is every one
+    with at most one odd token. Of several runs the one with most equal tokens is given. Null, empty and token-free
+    texts match nothing, as do items of under MIN_ITEM tokens; with an empty table there are no rows.
     Rows that repeat give a row each for documents and, for items, the pairs of each distinct item_id and overlap once.
     """
     spark = docs.sparkSession

@@ -165,6 +165,29 @@ def test_decontamination(spark):
     assert decontaminate.contaminated_pairs(docs.limit(0), bench).count() == 0
 
 
+def test_any_run_that_meets_both_thresholds_counts():
+    r, share = random.Random(27), decontaminate.Fraction("0.8")
+    for _ in range(500):
+        equal = np.array([r.random() < 0.75 for _ in range(r.randrange(1, 30))])
+        runs = [(int(equal[a:b].sum()), a - b, -a) for a in range(len(equal)) for b in range(a + 1, len(equal) + 1) if equal[a:b].sum() * 5 >= 4 * (b - a)]
+        n, length, at = max(runs, default=(0, 0, 0))
+        assert decontaminate.best_run(equal, share) == ((n, -length, -at) if n else (0, 0, 0))
+
+    def found(item, changed, around=20):
+        spoiled = [f"x{i}" if i in changed else w for i, w in enumerate(item.split())]
+        text = " ".join([*words(28, around).split(), *spoiled, *words(29, around).split()])
+        h = decontaminate.token_hashes(text, decontaminate.TokenHashes())
+        return [x[1:3] for x in decontaminate.Seeds([(1, item)]).overlaps(h, 12, 0.8)]
+
+    assert found(words(30, 13), {3}) == [(12, 13)]
+    assert found(words(31, 30), set(range(4, 30, 5))) == [(24, 29)]
+    assert found(words(32, 15), {3, 9, 12}) == [(12, 15)]
+    for n in range(5, 9):  # short items tolerate the same share, also at the ends of a document
+        for k in range(n):
+            assert [x[0] for x in found(words(n, n), {k})] == [n - 1] == [x[0] for x in found(words(n, n), {k}, 0)]
+        assert not found(words(n, n), {1, 3})
+
+
 def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
     want = sorted(map(tuple, queries.op4_decontaminate(spark, SF).collect()))
     limit = decontaminate.blocks.__defaults__
