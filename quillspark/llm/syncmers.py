@@ -2,10 +2,10 @@
 
 A k-mer of code points is a closed syncmer if the least hash among its inner s-mers lies at its first or last s-mer.
 Whether it is one depends on its own characters only, so texts that share a passage share its anchors wherever it
-stands. A fingerprint keeps the anchors with the SIZE least hashes (all of a short text's) with their positions.
+stands. A fingerprint keeps all anchors with their first positions, however long the text is.
 
-Likeness: of the SIZE least hashes of both fingerprints together, the share that both have in the same order
-(the longest chain of common anchors whose positions rise in both).
+Likeness: of the anchors of both fingerprints together, the share that both have in the same order (the longest chain
+of common anchors whose positions rise in both).
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import small_batches, texts
 from quillspark.llm.ordered import bounds, range_of
 
-K, S, SIZE = 16, 6, 128
+K, S = 16, 6
+#: Characters of fingerprints that a batch of results holds before it goes to Spark.
+BATCH_CHARS = 1 << 23
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -59,30 +61,26 @@ def syncmers(text: str) -> tuple[np.ndarray, np.ndarray]:
     return (whole >> np.uint64(32)).astype(np.uint32), at
 
 
-def sketch(text: str, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """The least hashes, ascending, each with its first position."""
+def sketch(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors' hashes, ascending, each with its first position."""
     h, at = syncmers(text)
-    if len(h) > 4 * size:  # only the least can be in the sketch, unless they repeat too often
-        cut = np.partition(h, 2 * size)[2 * size]
-        if len(np.unique(h[h < cut])) >= size:
-            h, at = h[h < cut], at[h < cut]
     h, first = np.unique(h, return_index=True)
-    return h[:size], at[first[:size]]
+    return h, at[first]
 
 
-def likeness(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], size: int = SIZE) -> float:
+def likeness(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
     """0 to 1; two empty fingerprints are alike."""
-    union = np.union1d(x[0], y[0])[:size]
-    if not len(union):
+    if not len(x[0]) and not len(y[0]):
         return 1.0
     both, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
-    inside = both <= union[-1]
-    p, q = x[1][i[inside]], y[1][j[inside]]
+    p, q = x[1][i], y[1][j]
     tails: list[int] = []
     for v in q[np.lexsort((q, p))].tolist():
-        k = bisect_left(tails, v)
-        tails[k : k + 1] = [v]
-    return len(tails) / len(union)
+        if not tails or v > tails[-1]:
+            tails.append(v)
+        else:
+            tails[bisect_left(tails, v)] = v
+    return len(tails) / (len(x[0]) + len(y[0]) - len(both))
 
 
 def written(x: tuple[np.ndarray, np.ndarray]) -> str:
@@ -125,10 +123,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     ordered = dealt.union(closing).repartition("range").sortWithinPartitions("range", "closing", "doc_id", "text").select("doc_id", "text", "closing")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, rows, chars = None, [], 0
         names, kinds = OUT.replace(",", "").split()[::2], [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
+
+        def flush() -> pa.RecordBatch:
+            nonlocal chars
+            out = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+            rows.clear()
+            chars = 0
+            return out
+
         for batch in batches:
-            rows = []
             for doc_id, raw, closing in zip(batch.column(0).to_pylist(), texts(batch), batch.column(2).to_pylist(), strict=True):
                 text = raw.decode()
                 own = sketch(text)
@@ -136,7 +141,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     other = edited(held[1], text)
                     changed = sketch(other)
                     rows.append((held[0], len(held[1]), sha256(other.encode()).hexdigest(), written(held[2]), written(changed), likeness(held[2], changed), likeness(held[2], own)))
+                    chars += len(rows[-1][3]) + len(rows[-1][4])
+                    if chars >= BATCH_CHARS:
+                        yield flush()
                 held = None if closing else (doc_id, text, own)
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+            yield flush()
 
     return ordered.mapInArrow(run, OUT)

@@ -124,6 +124,20 @@ def test_syncmers(spark):
     assert syncmers.likeness(syncmers.sketch(""), syncmers.sketch(t)) == 0
 
 
+def test_long_texts_keep_their_anchors(spark):
+    t = words(33, 6000)
+    f = syncmers.sketch(t)
+    assert {*f[1].tolist()} == {*brute_syncmers(t)}
+    for at in (5_000, 15_000, 25_000):  # one letter differs
+        g = syncmers.sketch(t[:at] + "z" + t[at + 1 :])
+        assert syncmers.written(g) != syncmers.written(f) and 0.99 < syncmers.likeness(f, g) < 1
+    passage = words(34, 60)
+    g, h = (syncmers.sketch(f"{words(i, 6000)} {passage} {words(i + 1, 6000)}") for i in (35, 37))
+    shared = {*syncmers.sketch(passage)[0].tolist()}
+    assert shared <= {*g[0].tolist()} & {*h[0].tolist()} and syncmers.likeness(g, h) > 0
+    assert syncmers.likeness(g, h) >= len(shared) / (len(g[0]) + len(h[0]))
+
+
 @pytest.mark.parametrize("rows_a_range", [3, 1000])
 def test_fingerprints(spark, monkeypatch, rows_a_range):
     from quillspark.llm import ordered
