@@ -2,7 +2,8 @@
 
 Documents with equal shingle sets form one class; only classes are compared. Banded MinHash proposes candidates. A
 candidate pair's signatures are compared in batches of hashes, and the pair is dropped once the posterior probability
-that its similarity reaches the threshold falls under `miss`; what is left is verified on the full shingle sets.
+that its similarity reaches the threshold falls under a bound; what is left is verified on the full shingle sets. The
+bound is such that a pair at the threshold is dropped with probability `miss` at most over all batches.
 
 No bucket is expanded into all its pairs. Three passes find the links that matter for the components:
 
@@ -18,6 +19,7 @@ No bucket is expanded into all its pairs. Three passes find the links that matte
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -126,21 +128,38 @@ def deep_signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(deep, pa.binary())], ["set_key", "deep"])
 
 
+def missed(least: list[int], similarity: float) -> float:
+    """The probability that a pair of this similarity has too few equal hashes after some STEP of them."""
+    c = similarity + (1 - similarity) / 256
+    step = np.array([comb(STEP, m) * c**m * (1 - c) ** (STEP - m) for m in range(STEP + 1)])
+    alive, lost = np.ones(1), 0.0
+    for m in least:
+        alive = np.convolve(alive, step)
+        lost += alive[:m].sum()
+        alive[:m] = 0
+    return float(lost)
+
+
 def least_matches(threshold: float, miss: float, hashes: int = HASHES) -> list[int]:
-    """For n = STEP, 2 STEP ... hashes: the fewest equal ones at which P(similarity >= threshold) is still `miss`.
+    """For n = STEP, 2 STEP ... hashes: the fewest equal ones at which P(similarity >= threshold) reaches a bound.
 
-    The similarity has a uniform prior; two unequal hashes agree in their eight kept bits once in 256.
+    The bound is `miss`, lowered by tenths until a pair at the threshold is lost with
+    probability `miss` at most over all the looks together. The similarity has a uniform prior; two unequal hashes
+    agree in their eight kept bits once in 256.
     """
     s = np.linspace(0.0005, 0.9995, 2000)
     c = s + (1 - s) / 256
-    out = []
+    tails = []
     for n in range(STEP, hashes + 1, STEP):
         tail = []
         for m in range(n + 1):
             log = m * np.log(c) + (n - m) * np.log(1 - c)
             p = np.exp(log - log.max())
             tail.append(p[s >= threshold].sum() / p.sum())
-        out.append(next(m for m in range(n + 1) if tail[m] >= miss))
+        tails.append(tail)
+    bound = miss
+    while missed(out := [next(m for m, p in enumerate(tail) if p >= bound) for tail in tails], threshold) > miss:
+        bound *= 0.9
     return out
 
 

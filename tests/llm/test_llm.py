@@ -319,6 +319,23 @@ def test_pruning_keeps_similar_pairs():
     assert (equal >= least).all(axis=1).mean() > 0.9995
 
 
+@pytest.mark.parametrize("hashes", [near_dedup.HASHES, near_dedup.DEEP])
+def test_pruning_misses_no_more_than_stated(hashes):
+    least = near_dedup.least_matches(0.8, 1e-5, hashes)
+    c, alive, lost = 0.8 + 0.2 / 256, {0: 1.0}, 0.0
+    for k in range(1, hashes + 1):  # a hash at a time
+        after = {}
+        for m, p in alive.items():
+            after[m], after[m + 1] = after.get(m, 0) + p * (1 - c), p * c
+        if k % near_dedup.STEP == 0:
+            low = least[k // near_dedup.STEP - 1]
+            lost += sum(p for m, p in after.items() if m < low)
+            after = {m: p for m, p in after.items() if m >= low}
+        alive = after
+    assert 0 < lost <= 1e-5 and lost == pytest.approx(near_dedup.missed(least, 0.8))
+    assert near_dedup.missed(least, 0.5) > 0.99
+
+
 # op7
 
 
