@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,8 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch. Texts may be long, so a batch of the default 10,000 rows could be large.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch, at most. Texts may be long, so a batch of the default 10,000 rows could be large.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,19 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches to BATCH_ROWS rows in this session, so that whole texts fit a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keeps this session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes (or one row), so that whole texts fit a Python worker.
+
+    The limits have to hold when the result is read, so they stay in the session; smaller ones of the caller's are kept.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(key)).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the cluster's shared folder; the folder goes when the driver's JVM ends.
 
-    The folder is the one that spark.checkpoint.dir names. Only where that is unset (a local test) is one made.
+    The folder is the one that spark.checkpoint.dir names. Where that is unset a local session (a test) makes one; on a
+    cluster there is none that all machines see, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         base = tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/quillspark-{uuid.uuid4().hex[:12]}-{tag}"
@@ -54,13 +60,11 @@ def materialize(df: DataFrame, tag: str, paths: list[str] | None = None) -> Data
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes scratch tables that nothing will read again, and lets Spark drop the shuffles that led to them."""
+    """Deletes scratch tables that nothing will read again."""
     for path in paths:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
     paths.clear()
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
@@ -68,6 +72,11 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
 
 
+def decoded(raw: bytes) -> str:
+    """Every operator reads text this way: what isn't UTF-8 becomes U+FFFD."""
+    return raw.decode("utf-8", "replace")
+
+
 def binary_rows(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 

@@ -1,8 +1,11 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A seed is a fixed mask over SPAN tokens that ignores some positions, so a substituted token spoils only the windows in
-which a mask reads it. Window hashes of the benchmark form a sorted table; every training window is looked up in it,
-and each hit is verified along its diagonal: any run of aligned tokens, mismatches allowed, may decide.
+A seed is a fixed mask that ignores some token positions, so a substituted token spoils only the windows in which a mask
+reads it. The window hashes of the benchmark are a table. Documents are read once: their distinct window hashes that pass
+a bit filter of that table are joined with it, and each text and item that share a hash are compared: along every
+diagonal with an equal window, any run of aligned tokens, mismatches allowed, may decide.
+
+Texts are known by their digest in between, so copies are compared once, and only texts with a hit are shuffled.
 """
 
 from __future__ import annotations
@@ -10,29 +13,37 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from fractions import Fraction
+from hashlib import md5
+from itertools import combinations
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import filter_rows, small_batches, texts
+from quillspark.llm.common import decoded, discard, materialize, small_batches, texts
 
-#: Masks of weight 6 over 9 tokens; the first and last positions always count.
-MASKS = ((0, 1, 2, 4, 7, 8), (0, 1, 3, 5, 6, 8), (0, 2, 3, 4, 6, 8), (0, 1, 4, 5, 7, 8))
-SPAN = 9
-#: Benchmark tokens that one pass holds in memory; a larger benchmark takes several passes over the documents.
-BLOCK_TOKENS = 2_000_000
+#: Masks of weight 5. Every run that the default thresholds count, of an item of SHORT tokens or more, has an equal window
+#: under one of them wherever its mismatches lie; a test goes through all of them.
+MASKS = ((0, 1, 2, 3, 5), (0, 4, 5, 6, 7), (0, 2, 3, 6, 7))
+#: Shorter items have masks of their own: all of their tokens but as many as may differ, for each choice of these.
+SHORT = 10
 #: Aligned equal tokens that make an overlap (at most the share of the item's), and the least share of them in the run.
 MIN_MATCHES, MIN_IDENTITY = 12, 0.8
-#: Items of fewer tokens are no evidence and are not searched.
+#: Items of fewer tokens are taken for no evidence; 1 searches all.
 MIN_ITEM = 5
+#: Benchmark hashes that are broadcast to the documents' hashes (about 40 bytes each); more are joined by a shuffle, salted.
+BROADCAST_SEEDS, SALTS = 500_000, 16
+#: Bits of the filter a hash, and the filter's least and most bits as powers of two (8 MB at most).
+BITS_A_SEED, FILTER_BITS = 256, (20, 26)
+#: Elements of a block of diagonals that are compared at once.
+BLOCK = 1 << 22
 MEMO = 200_000
 TOKEN = re.compile(r"[^\W_]+")
 
-HITS = "doc_id bigint, item_id bigint, n_matched bigint, n_aligned bigint, identity double, doc_start bigint"
+FOUND = "digest binary, item binary, n_matched bigint, n_aligned bigint, identity double, doc_start bigint"
 
 
 class TokenHashes(dict):
@@ -49,83 +60,129 @@ def token_hashes(text: str, memo: TokenHashes) -> np.ndarray:
 
 
 #: A factor for each place in a mask, so that order counts.
-FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(SPAN)]
+FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(SHORT)]
+
+Mask = tuple[tuple[int, ...], int]  # the positions that count, and the window's width
+
+
+def masks_of(n: int, share: Fraction) -> list[Mask]:
+    """The masks that find an item of n tokens."""
+    if n >= SHORT:
+        return [(m, m[-1] + 1) for m in MASKS]
+    return [(tuple(o for o in range(n) if o not in left), n) for left in combinations(range(n), n - max(1, ceil(share * n)))]
+
 
-#: Stands before and after a document's tokens and equals none.
-BEYOND = np.zeros(1, np.uint64)
+def padding(n: int, share: Fraction) -> int:
+    """Places before and after a document that windows of such an item may reach: its odd tokens can lie outside."""
+    return 0 if n >= SHORT else n - max(1, ceil(share * n))
 
 
-def scaled(h: np.ndarray) -> list[np.ndarray]:
-    """The tokens' hashes times each place's factor, which all masks share."""
+def scaled(h: np.ndarray, pad: int = 0) -> list[np.ndarray]:
+    """The tokens' hashes times each place's factor, which all masks share; padded with zeros, which equal no token."""
+    h = np.concatenate([np.zeros(pad, np.uint64), h, np.zeros(pad, np.uint64)]) if pad else h
     return [h * f for f in FACTORS]
 
 
-def window_hashes(places: list[np.ndarray], offsets: tuple[int, ...], span: int, salt: int) -> np.ndarray:
+def window_hashes(places: list[np.ndarray], mask: Mask) -> np.ndarray:
     """A hash of the tokens under the mask for each window: their hashes times the factors of their places in it."""
-    n = max(len(places[0]) - span + 1, 0)
-    out = np.full(n, salt * 0x51_7CC1_B727_220B, np.uint64)
+    offsets, width = mask
+    n = max(len(places[0]) - width + 1, 0)
+    out = np.full(n, xxhash.xxh3_64_intdigest(repr(mask)), np.uint64)
     for place, o in zip(places, offsets, strict=False):
         out += place[o : o + n]
     return out
 
 
-class Seeds:
-    """Sorted window hashes of a block of benchmark items, and the items' tokens."""
+def item_seeds(share: Fraction, min_item: int):
+    """(text, item) to (hash, item, n): the distinct window hashes of each item that is searched, n its number of tokens."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], masks=MASKS, span: int = SPAN):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = TokenHashes()
-        self.ids, self.tokens = [], []
-        for item_id, text in items:
-            h = token_hashes(text or "", memo)
-            if len(h) >= MIN_ITEM:
-                self.ids.append(item_id)
-                self.tokens.append(h)
-        lengths = sorted({len(h) for h in self.tokens if len(h) < span})
-        #: (offsets, span): the masks, and for items shorter than them all of their tokens but one, which may differ.
-        self.masks = [(m, span) for m in masks] + [(tuple(o for o in range(n) if o != left), n) for n in lengths for left in range(n)]
-        hashes, where = [], []
-        for k, (offsets, width) in enumerate(self.masks):
-            for i, h in enumerate(self.tokens):
-                if width == span or len(h) == width:
-                    w = window_hashes(scaled(h), offsets, width, k)
-                    hashes.append(w)
-                    where.append(np.stack([np.full(len(w), i), np.arange(len(w))], axis=1))
-        self.hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        self.where = np.concatenate(where) if where else np.empty((0, 2), np.int64)
-        order = np.argsort(self.hashes, kind="stable")
-        self.hashes, self.where = self.hashes[order], self.where[order]
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[self.hashes >> np.uint64(44)] = True
-
-    def diagonals(self, h: np.ndarray) -> set[tuple[int, int]]:
-        """(item, document position minus item position) of every equal window."""
-        found, places = set(), scaled(np.concatenate([BEYOND, h, BEYOND]))  # a short item's odd token may lie outside
-        for k, (offsets, width) in enumerate(self.masks):
-            w = window_hashes(places, offsets, width, k)
-            at = np.nonzero(self.bits[w >> np.uint64(44)])[0]
-            if not len(at):
-                continue
-            low = np.searchsorted(self.hashes, w[at])
-            hit = low < len(self.hashes)
-            hit[hit] = self.hashes[low[hit]] == w[at[hit]]
-            for p, lo in zip(at[hit].tolist(), low[hit].tolist(), strict=True):
-                while lo < len(self.hashes) and self.hashes[lo] == w[p]:
-                    found.add((int(self.where[lo, 0]), p - 1 - int(self.where[lo, 1])))
-                    lo += 1
-        return found
-
-    def overlaps(self, h: np.ndarray, min_matches: int, min_identity: float) -> list[tuple[int, int, int, int]]:
-        """(item, equal tokens, aligned tokens, start) of each item's best overlap that is good enough."""
-        best: dict[int, tuple[int, int, int]] = {}
-        share = Fraction(str(min_identity))
-        for i, d in self.diagonals(h):
-            item = self.tokens[i]
-            lo, hi = max(0, -d), min(len(item), len(h) - d)
-            equal = h[lo + d : hi + d] == item[lo:hi]
-            n, length, at = best_run(equal, share)
-            if n >= min(min_matches, ceil(share * len(item))) and (n, -length, -at - lo - d) > best.get(i, (0, 0, 0)):
-                best[i] = (n, -length, -at - lo - d)
-        return [(i, n, -length, -at) for i, (n, length, at) in sorted(best.items())]
+        for batch in batches:
+            hashes, items, sizes = [], [], []
+            for item, raw in zip(batch.column(1).to_pylist(), texts(batch), strict=True):
+                h = token_hashes(decoded(raw), memo)
+                if len(h) >= max(1, min_item):
+                    places = scaled(h)
+                    found = np.unique(np.concatenate([window_hashes(places, m) for m in masks_of(len(h), share)]))
+                    hashes.append(found.view(np.int64))
+                    items += [item] * len(found)
+                    sizes += [len(h)] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*hashes, np.empty(0, np.int64)])), pa.array(items, pa.binary()), pa.array(sizes, pa.int32())], ["hash", "item", "n"])
+
+    return run
+
+
+def document_seeds(lengths: list[int], share: Fraction, bits: int, passing):
+    """(doc_id, text) to (doc_id, digest, hashes): the documents with window hashes that pass the filter, and these."""
+    masks = [(m, padding(n, share)) for n in lengths for m in masks_of(n, share)]
+    shift = np.uint64(64 - bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = TokenHashes()
+        flags = np.unpackbits(np.frombuffer(passing.value, np.uint8), bitorder="little").view(bool)
+        for batch in batches:
+            at, digests, hashes = [], [], []
+            for i, raw in enumerate(texts(batch)):
+                h = token_hashes(decoded(raw), memo)
+                places = {pad: scaled(h, pad) for pad in {pad for _, pad in masks}}
+                found = []
+                for mask, pad in masks:
+                    w = window_hashes(places[pad], mask)
+                    w = w[flags[w >> shift]]
+                    if len(w):
+                        found.append(w)
+                if found:
+                    at.append(i)
+                    digests.append(md5(raw).digest())
+                    hashes.append(np.unique(np.concatenate(found)).view(np.int64))
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in hashes])]).astype(np.int32)
+            flat = pa.array(np.concatenate([*hashes, np.empty(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "digest", "hashes"])
+
+    return run
+
+
+def diagonals(h: np.ndarray, item: np.ndarray, share: Fraction) -> np.ndarray:
+    """Document position minus item position of every equal window, ascending. Each window of the item is met once with all of its likes."""
+    pad = padding(len(item), share)
+    mine, theirs = scaled(h, pad), scaled(item)
+    marks = np.zeros(len(h) + len(item) + 2 * pad + 1, bool)
+    for mask in masks_of(len(item), share):
+        w, v = window_hashes(mine, mask), window_hashes(theirs, mask)
+        if not len(w) or not len(v):
+            continue
+        order = np.argsort(v, kind="stable")
+        low, high = np.searchsorted(v[order], w, "left"), np.searchsorted(v[order], w, "right")
+        at = np.nonzero(high > low)[0]
+        first = low[at]
+        for start in np.unique(first).tolist():
+            here = at[first == start]
+            for p in order[start : high[here[0]]].tolist():
+                marks[here - pad - p + len(item) + pad] = True
+    return np.nonzero(marks)[0] - len(item) - pad
+
+
+def best_overlap(h: np.ndarray, item: np.ndarray, min_matches: int, share: Fraction) -> tuple[int, int, int] | None:
+    """Equal tokens, aligned tokens and start in the document of the best overlap, if one is good enough.
+
+    The best has the most equal tokens, of these the fewest aligned, of these the first start. Diagonals are tried by
+    their number of equal tokens, and those that can't be better are not tried.
+    """
+    need, n = min(min_matches, ceil(share * len(item))), len(item)
+    d = diagonals(h, item, share)
+    framed = np.concatenate([np.zeros(n, np.uint64), h, np.zeros(n, np.uint64)])
+    rows = max(1, BLOCK // max(1, n))
+    equal = lambda x: framed[x[:, None] + np.arange(n, 2 * n)] == item
+    counts = np.concatenate([equal(d[i : i + rows]).sum(axis=1) for i in range(0, len(d), rows)] or [np.empty(0, np.int64)])
+    best = None
+    for k in np.lexsort((d, -counts)).tolist():
+        if counts[k] < (need if best is None else best[0]) or (best and best[0] == best[1] == counts[k] and max(0, int(d[k])) >= best[2]):
+            break
+        m, length, at = best_run(equal(d[k : k + 1])[0], share)
+        if m >= need and (best is None or (m, -length, -(at + int(d[k]))) > (best[0], -best[1], -best[2])):
+            best = m, length, at + int(d[k])
+    return best
 
 
 def best_run(equal: np.ndarray, share: Fraction) -> tuple[int, int, int]:
@@ -149,61 +206,107 @@ def best_run(equal: np.ndarray, share: Fraction) -> tuple[int, int, int]:
     return most, int(last[k] - first[k]) + 1, int(first[k])
 
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK_TOKENS) -> Iterator[Seeds]:
-    """The benchmark, a bounded block at a time."""
-    held, size = [], 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        held.append((row[0], row[1]))
-        size += len(row[1] or "") // 4 + 1
-        if size >= limit:
-            yield Seeds(held)
-            held, size = [], 0
-    if held:
-        yield Seeds(held)
+def verifier(min_matches: int, share: Fraction):
+    """Rows (digest, kind, item, text) in order of digest and kind, the document's text first, then its items', to FOUND."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, now, h = TokenHashes(), None, None
+        for batch in batches:
+            rows = []
+            for digest, kind, item, raw in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), texts(batch), strict=True):
+                said = token_hashes(decoded(raw), memo)
+                if kind == 0:
+                    now, h = digest, said
+                elif now == digest and (best := best_overlap(h, said, min_matches, share)):
+                    rows.append((digest, item, best[0], best[1], best[0] / best[1], best[2]))
+            kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], FOUND.replace(",", "").split()[::2])
+
+    return run
 
 
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, min_matches: int = MIN_MATCHES, min_identity: float = MIN_IDENTITY) -> DataFrame:
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def search(docs: DataFrame, benchmark: DataFrame, min_matches: int, min_identity: float, min_item: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hits: doc_id, digest for each row that may have an overlap; found: FOUND, one row for each text and item that have; items: item_id, item)."""
+    spark, paths, share = docs.sparkSession, [], Fraction(str(min_identity))
+    put = lambda df, tag: materialize(df, tag, paths)
+    small_batches(spark)
+    named = benchmark.select("item_id", digest_of(benchmark["text"]).alias("item"), F.col("text").alias("text"))
+    items = put(named.dropDuplicates(["item"]).select("text", "item"), "items")
+    try:
+        seeds = put(items.mapInArrow(item_seeds(share, min_item), "hash bigint, item binary, n int"), "seeds")
+        n_seeds = seeds.count()
+        sizes = sorted({r["n"] for r in seeds.select(F.least("n", F.lit(SHORT)).alias("n")).distinct().collect()})  # at most SHORT numbers
+        bits = min(max(FILTER_BITS[0], (n_seeds * BITS_A_SEED).bit_length()), FILTER_BITS[1])
+        place = F.shiftrightunsigned("hash", 64 - bits)  # the filter's bits are set on the executors, 32,768 a row
+        words = seeds.groupBy((place / F.lit(32_768)).cast("int").alias("at")).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(32_768))).alias("bits")).collect()
+        passing = bytearray((1 << bits) // 8)
+        for r in words:
+            passing[r["at"] * 4096 : (r["at"] + 1) * 4096] = r["bits"]
+        flags = spark.sparkContext.broadcast(bytes(passing))  # 2 ** FILTER_BITS[1] bits at most
+        hits = materialize(docs.select("doc_id", "text").mapInArrow(document_seeds(sizes, share, bits, flags), "doc_id bigint, digest binary, hashes array<bigint>"), "hits")
+        asked = hits.select("digest", F.explode("hashes").alias("hash"))
+        table = seeds.select("hash", "item")
+        if n_seeds <= BROADCAST_SEEDS:
+            met = asked.join(F.broadcast(table), "hash")
+        else:
+            salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            met = asked.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")).join(salted, ["hash", "salt"])
+        pairs = put(met.select("digest", "item").distinct(), "pairs")
+        wanted = put(pairs.select("digest").distinct(), "wanted")  # read back, it has an exchange of its own: a hot text's join can be split
+        whole = docs.select(digest_of(docs["text"]).alias("digest"), F.col("text")).join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
+        rows = whole.select("digest", F.lit(0).alias("kind"), F.lit(b"").alias("item"), "text").union(pairs.join(items, "item").select("digest", F.lit(1).alias("kind"), "item", "text"))
+        ordered = rows.repartition("digest").sortWithinPartitions("digest", "kind", "item")
+        found = materialize(ordered.mapInArrow(verifier(min_matches, share), FOUND), "found")
+    finally:
+        discard(spark, paths)
+    return hits.select("doc_id", "digest"), found, named.select("item_id", "item").distinct()
+
+
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, min_matches: int = MIN_MATCHES, min_identity: float = MIN_IDENTITY, min_item: int = MIN_ITEM) -> DataFrame:
     """doc_id, item_id, n_matched, n_aligned, identity, doc_start (in tokens): every overlap, one row a pair.
 
-    Tokens are lower-cased runs of letters and digits. A pair counts if some run aligned without gaps has at least
-    min_matches equal tokens (or min_identity of the item's tokens, if that is fewer) and at least min_identity equal
-    ones. Its diagonal must have an equal window under some mask; for items shorter than the masks that is every one
-    with at most one odd token. Of several runs the one with most equal tokens is given. Null, empty and token-free
-    texts match nothing, as do items of under MIN_ITEM tokens; with an empty table there are no rows.
-    Rows that repeat give a row each for documents and, for items, the pairs of each distinct item_id and overlap once.
+    Tokens are lower-cased runs of letters and digits; bytes that aren't UTF-8 are read as U+FFFD, which is none. A pair
+    counts if some run aligned without gaps has at least min_matches equal tokens (or min_identity of the item's tokens,
+    if that is fewer) and at least min_identity equal ones. Of several runs the one with most equal tokens is given.
+    With the default thresholds none is missed; with lower ones a run also needs an equal window under some mask.
+    Items of under min_item tokens are not searched: so few are no evidence. min_item=1 searches every item with a token.
+    Null, empty and token-free texts match nothing; with an empty table there are no rows. Null ids and repeated rows
+    are like others: a repeated document row gives its rows again, a repeated item_id and text none. Only doc_id, item_id
+    and the texts are read, so names of other columns do not matter. Texts of any length are read whole.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs, out = docs.select("doc_id", "text"), None
-    for seeds in blocks(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
-            memo = TokenHashes()
-            for batch in batches:
-                rows = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
-                    found = {(seeds.ids[i], n, length, at) for i, n, length, at in seeds.overlaps(token_hashes(text.decode(), memo), min_matches, min_identity)}
-                    rows += [(doc_id, item, n, length, n / length, at) for item, n, length, at in sorted(found, key=str)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64()] * 4 + [pa.float64(), pa.int64()])], HITS.replace(",", "").split()[::2])
-
-        part = docs.mapInArrow(run, HITS)
-        out = part if out is None else out.union(part)
-    return spark.createDataFrame([], HITS) if out is None else out
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_matches: int = MIN_MATCHES, min_identity: float = MIN_IDENTITY) -> DataFrame:
-    """The rows of `docs`, all columns, without an overlap; nothing is shuffled. Null and empty texts stay."""
-    small_batches(docs.sparkSession)
-    for seeds in blocks(benchmark):
-        memo = TokenHashes()
+    hits, found, items = search(docs, benchmark, min_matches, min_identity, min_item)
+    return hits.join(found, "digest").join(items, "item").select("doc_id", "item_id", "n_matched", "n_aligned", "identity", "doc_start")
 
-        def clean(batch: list[bytes], seeds=seeds, memo=memo) -> list[bool]:
-            return [not seeds.overlaps(token_hashes(x.decode(), memo), min_matches, min_identity) for x in batch]
 
-        docs = filter_rows(docs, "text", clean)
-    return docs
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_matches: int = MIN_MATCHES, min_identity: float = MIN_IDENTITY, min_item: int = MIN_ITEM) -> DataFrame:
+    """The rows of `docs`, all columns, without an overlap; null and empty texts stay, and so do repeated rows. See contaminated_pairs.
+
+    Rows are left out by the digests of the texts found, which Spark broadcasts if they are few.
+    """
+    _, found, _ = search(docs, benchmark, min_matches, min_identity, min_item)
+    gone = materialize(found.select(F.col("digest").alias("__digest")).distinct(), "contaminated")
+    return docs.join(gone, digest_of(docs["text"]) == gone["__digest"], "left_anti")
 
 
 def summary(pairs: DataFrame) -> DataFrame:
     """doc_id, n_items, most_matched: one row for each document with an overlap."""
     return pairs.groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items"), F.max("n_matched").alias("most_matched"))
+
+
+def oracle(min_matches: int = MIN_MATCHES, share: tuple[int, int] = (4, 5), min_item: int = MIN_ITEM) -> str:
+    """The same in DuckDB SQL, without seeds: every diagonal with enough equal tokens, and every run on it."""
+    a, b = share
+    return rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS p FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents)),
+b AS MATERIALIZED (SELECT item_id, len(w) AS n, unnest(w) AS w, unnest(range(len(w))) AS q FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark) WHERE len(w) >= {min_item}),
+m AS (SELECT doc_id, item_id, n, p - q AS d, list(q ORDER BY q) AS qs FROM d JOIN b USING (w) GROUP BY ALL HAVING count(*) >= least({min_matches}, ({a} * n + {b} - 1) // {b})),
+e AS MATERIALIZED (SELECT doc_id, item_id, n, d, unnest(qs) AS q, unnest(range(len(qs))) AS i FROM m),
+r AS (SELECT x.doc_id, x.item_id, y.i - x.i + 1 AS n_matched, y.q - x.q + 1 AS n_aligned, x.q + x.d AS doc_start
+      FROM e x JOIN e y ON x.doc_id = y.doc_id AND x.item_id = y.item_id AND x.d = y.d AND y.i >= x.i
+      WHERE {b} * (y.i - x.i + 1) >= {a} * (y.q - x.q + 1) AND y.i - x.i + 1 >= least({min_matches}, ({a} * x.n + {b} - 1) // {b}))
+SELECT doc_id, item_id, n_matched::BIGINT AS n_matched, n_aligned::BIGINT AS n_aligned, n_matched / n_aligned AS identity, doc_start::BIGINT AS doc_start
+FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_matched DESC, n_aligned, doc_start) = 1"""

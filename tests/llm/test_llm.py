@@ -3,35 +3,14 @@ import random
 import zlib
 
 import numpy as np
-import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspark.llm import chat_format, common, decontaminate, mixing, near_dedup, queries, revisits, shard, syncmers, token_store, toxicity, url_filter
+from fixtures import DOCS, ODD, SF, VOCABULARY, WIDE, documents, with_broken, words
 from quillspark.llm.common import table
 
-SF = "/root/testdata/sf0.001"
-DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-#: Extra columns with names that operators use inside.
-WIDE = DOCS + ", band string, score string, kept string, component_id string, place string, copies string, slot string, shard string"
-VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-
-
-def documents(spark, texts, schema=DOCS):
-    rows = [(i, t, "en", f"s{(i or 0) % 2}", len(t or "")) if not isinstance(t, tuple) else t for i, t in texts]
-    if schema == WIDE:
-        rows = [(*r, *["x"] * 8) for r in rows]
-    return spark.createDataFrame(rows, schema)
-
-
-def words(seed, n):
-    r = random.Random(seed)
-    return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 8))) for _ in range(n))
-
-
-ODD = [(1, None), (2, ""), (3, "   \n"), (4, words(1, 60)), (5, words(1, 60)), (6, "one"), (7, "one"), (None, words(2, 30)), (None, words(2, 30)), (8, words(3, 30_000)), (4, words(1, 60)), (9, "é " * 40)]
-
 
 # op1
 
@@ -158,58 +137,6 @@ def test_fingerprints(spark, monkeypatch, rows_a_range):
     assert lone.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and lone.near_next == 1
 
 
-# op4
-
-
-def test_decontamination(spark):
-    item, other = words(20, 30), words(21, 9)
-    spoiled = item.split()
-    for i in (4, 13, 22):
-        spoiled[i] = "changed"
-    shout = item.upper().replace(" ", ", ")
-    half = " ".join(item.split()[:14])
-    texts = [(1, f"{words(22, 50)} {item} {words(23, 50)}"), (2, f"x {' '.join(spoiled)} y"), (3, shout), (4, half), (5, " ".join(item.split()[:8]) + " " + words(24, 60)), (6, words(25, 80)), (7, other), (8, None), (9, ""), (10, words(26, 20) + " " + other)]
-    docs = documents(spark, texts, WIDE)
-    bench = spark.createDataFrame([(1, item), (2, other), (3, None), (4, "too few"), (5, ""), (6, item)], "item_id bigint, text string")
-    got = {(r.doc_id, r.item_id): r.n_matched for r in decontaminate.contaminated_pairs(docs, bench).collect()}
-    assert got == {**{(d, i): n for d, n in ((1, 30), (2, 27), (3, 30), (4, 14)) for i in (1, 6)}, (7, 2): 9, (10, 2): 9}
-    clean = decontaminate.drop_contaminated(docs, bench)
-    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [5, 6, 8, 9]
-    assert decontaminate.contaminated_pairs(docs, bench.limit(0)).count() == 0 and decontaminate.drop_contaminated(docs, bench.limit(0)).count() == 10
-    assert decontaminate.contaminated_pairs(docs.limit(0), bench).count() == 0
-
-
-def test_any_run_that_meets_both_thresholds_counts():
-    r, share = random.Random(27), decontaminate.Fraction("0.8")
-    for _ in range(500):
-        equal = np.array([r.random() < 0.75 for _ in range(r.randrange(1, 30))])
-        runs = [(int(equal[a:b].sum()), a - b, -a) for a in range(len(equal)) for b in range(a + 1, len(equal) + 1) if equal[a:b].sum() * 5 >= 4 * (b - a)]
-        n, length, at = max(runs, default=(0, 0, 0))
-        assert decontaminate.best_run(equal, share) == ((n, -length, -at) if n else (0, 0, 0))
-
-    def found(item, changed, around=20):
-        spoiled = [f"x{i}" if i in changed else w for i, w in enumerate(item.split())]
-        text = " ".join([*words(28, around).split(), *spoiled, *words(29, around).split()])
-        h = decontaminate.token_hashes(text, decontaminate.TokenHashes())
-        return [x[1:3] for x in decontaminate.Seeds([(1, item)]).overlaps(h, 12, 0.8)]
-
-    assert found(words(30, 13), {3}) == [(12, 13)]
-    assert found(words(31, 30), set(range(4, 30, 5))) == [(24, 29)]
-    assert found(words(32, 15), {3, 9, 12}) == [(12, 15)]
-    for n in range(5, 9):  # short items tolerate the same share, also at the ends of a document
-        for k in range(n):
-            assert [x[0] for x in found(words(n, n), {k})] == [n - 1] == [x[0] for x in found(words(n, n), {k}, 0)]
-        assert not found(words(n, n), {1, 3})
-
-
-def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
-    want = sorted(map(tuple, queries.op4_decontaminate(spark, SF).collect()))
-    limit = decontaminate.blocks.__defaults__
-    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (200,))
-    assert sorted(map(tuple, queries.op4_decontaminate(spark, SF).collect())) == want and want
-    assert limit == (decontaminate.BLOCK_TOKENS,)
-
-
 # op5
 
 
@@ -489,7 +416,7 @@ def test_oracles(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     answer = con.execute(queries.ORACLE_SQL[name])
