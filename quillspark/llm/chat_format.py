@@ -12,15 +12,17 @@ there already gets one more), so unescaping is exact. Line feeds and backslashes
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import small_batches
+from quillspark.llm.common import binary_rows, decoded, small_batches
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Strings that some chat template or tokenizer takes for control; fixed values of public formats.
@@ -29,6 +31,8 @@ _TAILS = "|".join(re.escape(x[1:]) for x in sorted(CONTROL, key=len, reverse=Tru
 #: A control string's first character, backslashes, and the rest of one that begins so.
 ESCAPE, UNESCAPE = rf"([<\[])(\\*)(?={_TAILS})", rf"([<\[])\\(\\*)(?={_TAILS})"
 _UNESCAPE = re.compile(UNESCAPE)
+#: Sets of field paths whose layouts a task remembers.
+MEMO = 10_000
 
 
 def escape(text: Column) -> Column:
@@ -63,100 +67,180 @@ def fingerprint(paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
-def _turns(*pairs: tuple[str, Column]) -> Column:
-    rows = [F.struct(F.lit(role).alias("role"), text.cast("string").alias("text")) for role, text in pairs]
-    return F.filter(F.array(*rows), lambda x: x["text"].isNotNull())
-
-
-def _messages(column: str, role: str, text: str, names: dict[str, str] | None = None) -> Callable[[], Column]:
-    def build() -> Column:
-        def one(m: Column) -> Column:
-            said = m[role]
-            for old, new in (names or {}).items():
-                said = F.when(m[role] == old, new).otherwise(said)
-            return F.struct(said.alias("role"), m[text].alias("text"))
-
-        return F.transform(column, one)
-
-    return build
-
-
-#: (field paths that select the layout, the array of turns); the paths' hash is the key.
-LAYOUTS: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
-    fingerprint(list(paths)): (paths, build)
-    for paths, build in (
-        (("prompt", "response"), lambda: _turns(("user", F.col("prompt")), ("assistant", F.col("response")))),
-        (("prompt", "completion"), lambda: _turns(("user", F.col("prompt")), ("assistant", F.col("completion")))),
-        (("question", "answer"), lambda: _turns(("user", F.col("question")), ("assistant", F.col("answer")))),
-        (("instruction", "output"), lambda: _turns(("user", F.col("instruction")), ("assistant", F.col("output")))),
-        (
-            ("instruction", "input", "output"),
-            lambda: _turns(("user", F.when(F.coalesce("input", F.lit("")) == "", F.col("instruction")).otherwise(F.concat_ws("\n\n", "instruction", "input"))), ("assistant", F.col("output"))),
-        ),
-        (("system", "prompt", "response"), lambda: _turns(("system", F.col("system")), ("user", F.col("prompt")), ("assistant", F.col("response")))),
-        (("messages[].role", "messages[].content"), _messages("messages", "role", "content")),
-        (("conversations[].from", "conversations[].value"), _messages("conversations", "from", "value", {"human": "user", "gpt": "assistant"})),
-        (("turn", "role", "text"), lambda: F.array(F.struct(F.col("role"), F.col("text")))),
+@dataclass(frozen=True)
+class Fields:
+    """One turn for each role, its text the fields' texts joined by a blank line, empty ones after the first left out."""
+
+    turns: tuple[tuple[str, tuple[str, ...]], ...]
+
+
+@dataclass(frozen=True)
+class Listed:
+    """One turn for each element of a list of messages, some roles under other names."""
+
+    column: str
+    role: str
+    text: str
+    names: tuple[tuple[str, str], ...] = ()
+
+
+@dataclass(frozen=True)
+class Row:
+    """The record is a turn itself."""
+
+    turn: str
+    role: str
+    text: str
+
+
+Mapping = Fields | Listed | Row
+
+#: Fingerprint -> (field paths, mapping to turns).
+LAYOUTS: dict[str, tuple[tuple[str, ...], Mapping]] = {
+    fingerprint(list(paths)): (paths, mapping)
+    for paths, mapping in (
+        (("prompt", "response"), Fields((("user", ("prompt",)), ("assistant", ("response",))))),
+        (("prompt", "completion"), Fields((("user", ("prompt",)), ("assistant", ("completion",))))),
+        (("question", "answer"), Fields((("user", ("question",)), ("assistant", ("answer",))))),
+        (("instruction", "output"), Fields((("user", ("instruction",)), ("assistant", ("output",))))),
+        (("instruction", "input", "output"), Fields((("user", ("instruction", "input")), ("assistant", ("output",))))),
+        (("system", "prompt", "response"), Fields((("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",))))),
+        (("messages[].role", "messages[].content"), Listed("messages", "role", "content")),
+        (("conversations[].from", "conversations[].value"), Listed("conversations", "from", "value", (("human", "user"), ("gpt", "assistant")))),
+        (("turn", "role", "text"), Row("turn", "role", "text")),
     )
 }
 
 
-def layout_of(schema: T.StructType, ignore: tuple[str, ...] = ()) -> tuple[str, ...]:
-    """The field paths of the layout of a table: that of the same fingerprint, else, as tables carry extra columns, the largest whose paths it has all of."""
-    paths = [p for p in field_paths(schema) if p not in ignore]
+def layout_of(paths: list[str]) -> str | None:
+    """The fingerprint of the layout that some field paths have: their own, else, as records carry extra fields, that of
+    the largest layout whose paths are all there; null without any."""
     if (key := fingerprint(paths)) in LAYOUTS:
-        return LAYOUTS[key][0]
-    within = [x for x, _ in LAYOUTS.values() if set(x) <= set(paths)]
-    if not within:
-        raise ValueError(f"no mapping for the field paths {sorted(paths)}")
-    return max(within, key=lambda x: (len(x), x))
+        return key
+    within = [(len(x), x, k) for k, (x, _) in LAYOUTS.items() if set(x) <= set(paths)]
+    return max(within)[2] if within else None
+
+
+TURN = "struct<turn: bigint, role: string, text: string>"
+
+
+def turns_of(mapping: Mapping) -> Column:
+    """A record's turns as an array of TURN. Every field of the layout gives its turn; a null text stays null, which formatting takes for empty."""
+    one = lambda turn, role, text: F.struct(turn.cast("bigint").alias("turn"), role.cast("string").alias("role"), text.cast("string").alias("text"))
+    if isinstance(mapping, Row):
+        return F.array(one(F.col(mapping.turn), F.col(mapping.role), F.col(mapping.text)))
+    if isinstance(mapping, Listed):
+
+        def message(m: Column, i: Column) -> Column:
+            role = m[mapping.role]
+            for old, new in mapping.names:
+                role = F.when(m[mapping.role] == old, new).otherwise(role)
+            return one(i, role, m[mapping.text])
+
+        return F.transform(mapping.column, message)
+
+    def joined(first: str, *others: str) -> Column:
+        said = F.col(first).cast("string")
+        for c in others:
+            more = F.col(c).cast("string")
+            said = F.when(F.coalesce(more, F.lit("")) == "", said).otherwise(F.concat_ws("\n\n", said, more))
+        return said
+
+    return F.array(*(one(F.lit(i), F.lit(role), joined(*fields)) for i, (role, fields) in enumerate(mapping.turns)))
 
 
 def canonical_turns(records: DataFrame, key: str) -> DataFrame:
     """conv_id, turn, role, text from a table of any known layout; `key` names the conversation.
 
-    Turn rows keep their turn; other layouts number theirs from 0. Unknown layouts raise ValueError.
+    The fingerprint of the table's field paths (without `key`) selects the mapping; extra columns, whatever their names,
+    do not matter. Turn rows keep their turn; other layouts number theirs from 0. A null field is a turn with a null text;
+    a record whose list of messages is null or empty is one turn 0 without role and text, so no record is lost. Texts of
+    any length stay whole, repeated rows repeat, an empty table gives no turns. Unknown layouts raise ValueError.
     """
-    paths = layout_of(records.schema, (key,))
-    if paths == ("turn", "role", "text"):
-        return records.select(F.col(key).alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    rows = records.select(F.col(key).alias("conv_id"), F.posexplode(LAYOUTS[fingerprint(list(paths))][1]()).alias("turn", "said"))
-    return rows.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "said.role", "said.text")
+    paths = [p for p in field_paths(records.schema) if p != key]
+    layout = layout_of(paths)
+    if layout is None:
+        raise ValueError(f"no mapping for the field paths {sorted(paths)}")
+    mapping = LAYOUTS[layout][1]
+    rows = records.select(F.col(key).alias("conv_id"), F.explode_outer(turns_of(mapping)).alias("said"))
+    turn = F.col("said.turn") if isinstance(mapping, Row) else F.coalesce("said.turn", F.lit(0).cast("bigint"))
+    return rows.select("conv_id", turn.alias("turn"), "said.role", "said.text")
+
+
+# JSON records
 
 
-def json_fingerprint(record: Column) -> Column:
-    """The fingerprint of a JSON record's field paths, for tables that mix layouts row by row; null if it isn't JSON."""
-    shape = F.schema_of_variant(F.try_parse_json(record))
-    return F.sha2(F.regexp_replace(shape, r"\b(?!OBJECT|ARRAY)[A-Z]+(?:\(\d+,\d+\))?(?=[,>]|$)", "value"), 256)
+def json_paths(value, at: str = "") -> list[str]:
+    """field_paths() of a parsed JSON value; a list's are those of all its elements."""
+    if isinstance(value, dict) and (value or at):
+        return [p for k, v in value.items() for p in json_paths(v, f"{at}.{k}" if at else k)]
+    if isinstance(value, list):
+        return list(dict.fromkeys(p for v in value for p in json_paths(v, f"{at}[]"))) or [f"{at}[]"]
+    return [at]
 
 
-#: JSON layouts: an example record, and the type that reads it.
-_JSON = (
-    ('{"prompt":"x","response":"x"}', "prompt string, response string"),
-    ('{"prompt":"x","completion":"x"}', "prompt string, completion string"),
-    ('{"question":"x","answer":"x"}', "question string, answer string"),
-    ('{"instruction":"x","output":"x"}', "instruction string, output string"),
-    ('{"instruction":"x","input":"x","output":"x"}', "instruction string, input string, output string"),
-    ('{"messages":[{"role":"x","content":"x"}]}', "messages array<struct<role string, content string>>"),
-    ('{"conversations":[{"from":"x","value":"x"}]}', "conversations array<struct<from string, value string>>"),
-)
+def json_text(value) -> str | None:
+    """A text as it is (half of a surrogate pair: U+FFFD), null as null, anything else as JSON."""
+    if value is None:
+        return None
+    text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def json_turns(raw: str, known: dict[tuple[str, ...], str | None]) -> list[tuple[int, str | None, str | None]]:
+    """A JSON record's turns; `known` remembers the layouts of field paths. One of no layout is one turn without a role, the record its text."""
+    try:
+        record = json.loads(raw)
+        paths = tuple(sorted(json_paths(record)))
+    except (ValueError, RecursionError):
+        return [(0, None, raw)]
+    if paths not in known:
+        if len(known) >= MEMO:
+            known.clear()
+        known[paths] = layout_of(list(paths)) if isinstance(record, dict) else None
+    if known[paths] is None:
+        return [(0, None, raw)]
+    mapping = LAYOUTS[known[paths]][1]
+    if isinstance(mapping, Row):
+        turn = record.get(mapping.turn)
+        return [(turn if type(turn) is int and abs(turn) < 1 << 63 else 0, json_text(record.get(mapping.role)), json_text(record.get(mapping.text)))]
+    if isinstance(mapping, Listed):
+        if not isinstance(record.get(mapping.column), list):
+            return [(0, None, raw)]
+        names, messages = dict(mapping.names), [m if isinstance(m, dict) else {mapping.text: m} for m in record[mapping.column]]
+        said = [(json_text(m.get(mapping.role)), json_text(m.get(mapping.text))) for m in messages]
+        return [(i, names.get(role, role), text) for i, (role, text) in enumerate(said)]
+    out = []
+    for i, (role, fields) in enumerate(mapping.turns):
+        first, *others = (json_text(record.get(f)) for f in fields)
+        rest = [x for x in others if x]
+        out.append((i, role, "\n\n".join(([] if first is None else [first]) + rest) if rest else first))
+    return out
 
 
 def canonical_json_turns(records: DataFrame, key: str, record: str) -> DataFrame:
-    """conv_id, turn, role, text from JSON records of mixed layouts; a record of no known layout has one turn without a role or text."""
-    spark = records.sparkSession
-    said = None
-    for example, ddl in _JSON:
-        schema = T.StructType.fromDDL(ddl)
-        build = LAYOUTS[fingerprint(list(layout_of(schema)))][1]
-        parsed = records.select(F.col(key).alias("conv_id"), json_fingerprint(F.col(record)).alias("shape"), F.from_json(record, schema).alias("parsed"))
-        wanted = spark.range(1).select(json_fingerprint(F.lit(example)).alias("x")).first()["x"]
-        part = parsed.where(F.col("shape") == wanted).select("conv_id", "parsed.*").select("conv_id", F.posexplode(build()).alias("turn", "said"))
-        said = part if said is None else said.unionByName(part)
-    known = [spark.range(1).select(json_fingerprint(F.lit(x)).alias("x")).first()["x"] for x, _ in _JSON]
-    rest = records.where(~F.coalesce(json_fingerprint(F.col(record)).isin(known), F.lit(False)))
-    rest = rest.select(F.col(key).alias("conv_id"), F.lit(0).cast("bigint").alias("turn"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"))
-    return said.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "said.role", "said.text").unionByName(rest)
+    """conv_id, turn, role, text from JSON records (column `record`) of layouts that differ row by row.
+
+    Each record's own field paths select its mapping, as for tables; extra fields do not matter. A record of no known
+    layout, one that isn't JSON, and one with an empty list of messages is one turn 0 without a role whose text is the
+    record as it stands (a null one: null), so nothing is lost. Texts in other types are written as JSON; bytes that
+    aren't UTF-8 are read as U+FFFD. Repeated rows repeat; an empty table gives no turns. Records are read once.
+    """
+    small_batches(records.sparkSession)
+    asked = records.select(F.col(key).alias("conv_id"), F.col(record).cast("string").alias("record"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[str, ...], str | None] = {}
+        for batch in batches:
+            at, rows = [], []
+            for i, raw in enumerate(binary_rows(batch.column(1))):
+                found = [(0, None, None)] if raw is None else json_turns(decoded(raw), known)
+                at += [i] * len(found)
+                rows += found
+            parts = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *parts], ["conv_id", "turn", "role", "text"])
+
+    return asked.mapInArrow(run, T.StructType([asked.schema["conv_id"], *T.StructType.fromDDL("turn bigint, role string, text string").fields]))
 
 
 # Template
@@ -165,9 +249,12 @@ def canonical_json_turns(records: DataFrame, key: str, record: str) -> DataFrame
 def format_turns(turns: DataFrame) -> DataFrame:
     """conv_id, turn, segment, loss_start, loss_length: the conversation's formatted text is its segments in order.
 
-    The order is by turn, then role, then text, nulls first. A null role or text is empty. The loss mask covers the
-    text of assistant turns: loss_start and loss_length are code points in the segment, null for other turns.
+    The order is by turn, then role, then text, nulls first. A null role or text is empty; bytes that aren't UTF-8 become
+    U+FFFD. The loss mask covers the text of assistant turns: loss_start and loss_length are code points in the segment,
+    null for other turns. Repeated turns repeat, texts of any length stay whole, an empty table gives none; other columns
+    are not read.
     """
+    turns = turns.select("conv_id", "turn", F.make_valid_utf8("role").alias("role"), F.make_valid_utf8("text").alias("text"))
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     head = F.concat(F.lit(START), escape_role(role), F.lit("\n"))
     masked = role == "assistant"
@@ -190,7 +277,8 @@ _SEGMENT = re.compile(re.escape(START) + r"([^\n]*)\n(.*)" + re.escape(END) + r"
 def read_back(formatted: DataFrame) -> DataFrame:
     """One row for each conversation, parsed from its formatted segments; see READ.
 
-    Segments are streamed in order through running digests, so a conversation of any length takes bounded memory.
+    Segments are streamed in order through running digests, so a conversation of any length takes bounded memory; as a
+    digest is one sequence, it is one task's. Null conversation ids are one conversation; an empty table gives no rows.
     """
     small_batches(formatted.sparkSession)
     ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "order_role", "order_text").select("conv_id", "segment", "loss_start", "loss_length")
