@@ -38,13 +38,18 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     `rules` has action (block or allow), host and path, none null. A rule fits its host and all subdomains if the path
     starts with the rule's. The longest rule (host and path, in characters) wins, then the longer host; between equal
     rules block wins. Without a fitting rule the rule is null and the verdict is `default`. Null ids and repeated rows
-    are kept as they are. Without rules every page gets the default.
+    are kept as they are. Null urls and those without a host get the default and are joined with nothing, so they never
+    meet in one task; a frequent url's join is split. Without rules every page gets the default; without pages there are
+    no rows. Urls of any length are read whole; bytes that aren't UTF-8 match no rule that is.
+
+    A url is hashed once for each shape (labels, path length) that it can have; the rules' shapes, of which there are at
+    most as many as a host has labels (127) times the rules' path lengths, are held by the driver.
     """
     spark = pages.sparkSession
     rules = rules.where("host <> '' AND path IS NOT NULL AND action IN ('block', 'allow')")
     rules = rules.groupBy("host", "path").agg(F.max("action").alias("action"))  # 'block' > 'allow'
     rules = rules.withColumn("rule", F.concat("host", "path")).withColumn("labels", F.size(F.split("host", r"\.")))
-    shapes = [(r["labels"], r["n"]) for r in rules.select("labels", F.length("path").alias("n")).distinct().collect()]  # a few
+    shapes = [(r["labels"], r["n"]) for r in rules.select("labels", F.length("path").alias("n")).distinct().collect()]
     split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     if not shapes:
         return split.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
@@ -71,8 +76,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     hits = hits.where("full = rule_full")
     best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "host_length", "rule", "action")).alias("best"))
     best = best.select(F.col("host").alias("h"), F.col("path").alias("p"), "best.rule", "best.action")
-    out = split.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict"))
+    best = best.hint("rebalance")  # an exchange of its own, so that a hot url's join can be split
+    out = split.where("host <> ''").join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
+    out = out.select("page_id", "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict"))
+    return out.union(split.where("host = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
 
 
 def rule_table(spark, rules=RULES) -> DataFrame:
