@@ -2,7 +2,8 @@
 
 A k-mer of code points is a closed syncmer if the least hash among its inner s-mers lies at its first or last s-mer.
 Whether it is one depends on its own characters only, so texts that share a passage share its anchors wherever it
-stands. A fingerprint keeps all anchors with their first positions, however long the text is.
+stands. A fingerprint keeps all anchors with their first positions, however long the text is. A text without any (a short
+one) has its whole self for its only anchor.
 
 Likeness: of the anchors of both fingerprints together, the share that both have in the same order (the longest chain
 of common anchors whose positions rise in both).
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import small_batches, texts
+from quillspark.llm.common import decoded, small_batches, texts
 from quillspark.llm.ordered import bounds, range_of
 
 K, S = 16, 6
@@ -40,13 +41,18 @@ def _rolled(codes: np.ndarray, width: int) -> np.ndarray:
     return _mix(out)
 
 
+def whole(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text as its own anchor, at 0."""
+    return (_rolled(codes, len(codes)) >> np.uint64(32)).astype(np.uint32), np.zeros(1, np.int64)
+
+
 def syncmers(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (32 bits) and positions of the text's closed syncmers; a text under K code points is one anchor, an empty none."""
+    """Hashes (32 bits) and positions of the text's closed syncmers; a text without any has one anchor, its whole, an empty text none."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     if not len(codes):
         return np.empty(0, np.uint32), np.empty(0, np.int64)
     if len(codes) < K:
-        return (_rolled(codes, len(codes)) >> np.uint64(32)).astype(np.uint32), np.zeros(1, np.int64)
+        return whole(codes)
     inner = _rolled(codes, S)
     n = len(codes) - K + 1
     first, last = inner[:n], inner[K - S : K - S + n]
@@ -54,11 +60,11 @@ def syncmers(text: str) -> tuple[np.ndarray, np.ndarray]:
     for i in range(1, K - S + 1):
         np.minimum(least, inner[i : i + n], out=least)
     at = np.nonzero((first == least) | (last == least))[0]
-    if not len(at):  # a short text whose windows all have their minimum inside
-        at = np.zeros(1, np.int64)
+    if not len(at):  # all windows have their minimum inside
+        return whole(codes)
     # the k-mer's hash from three of its s-mers, which cover it
-    whole = _mix(inner[at] * np.uint64(3) + inner[at + S] * np.uint64(5) + inner[at + K - S] * np.uint64(7))
-    return (whole >> np.uint64(32)).astype(np.uint32), at
+    kmers = _mix(inner[at] * np.uint64(3) + inner[at + S] * np.uint64(5) + inner[at + K - S] * np.uint64(7))
+    return (kmers >> np.uint64(32)).astype(np.uint32), at
 
 
 def sketch(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +112,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """OUT, one row for each row of `docs` (doc_id, text; other columns are not read).
 
     The next document is the next row by doc_id (nulls first, ties by text), after the last the first; a lone row is
-    its own next. A null text is empty: its fingerprint is empty, its likeness to another empty one 1 and else 0.
+    its own next. A null text is empty: its fingerprint is empty, its likeness to another empty one 1 and else 0. Bytes that
+    aren't UTF-8 are read as U+FFFD. Repeated rows follow each other; an empty table gives no rows.
     Ranges of ids are dealt to the tasks; the first row of a range also closes the range before it.
     """
     small_batches(docs.sparkSession)
@@ -135,7 +142,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for doc_id, raw, closing in zip(batch.column(0).to_pylist(), texts(batch), batch.column(2).to_pylist(), strict=True):
-                text = raw.decode()
+                text = decoded(raw)
                 own = sketch(text)
                 if held is not None:
                     other = edited(held[1], text)
