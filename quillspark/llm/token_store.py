@@ -8,9 +8,7 @@ stripes, and look a document up by the stripes' statistics, row indexes and Bloo
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,76 +17,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import scratch, small_batches, texts
+from quillspark.llm.common import decoded, scratch, small_batches, texts
 from quillspark.llm.ordered import bounds, range_of
 
 END_ID = 1
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "10000", "orc.create.index": "true", "orc.stripe.size": str(64 << 20), "compression": "zstd"}
-MEMO = 1_000_000
 ROWS = "shard int, doc_id bigint, start_in_shard bigint, n_tokens int, ids array<int>"
-#: Stretches whose normal form and words are plain: printable ASCII and Latin-1 letters. In them lower-casing goes letter
-#: by letter, nothing composes, and the words are those of the tokenizer's published pattern.
-PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
+#: Bytes of text that the library encodes in one call, about.
+CALL_BYTES = 1 << 20
 
 
-def byte_letters() -> list[str]:
-    """The letter that byte-level vocabularies write for each byte: visible Latin-1 ones for themselves, the rest from U+0100 on."""
-    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = iter(range(256, 512))
-    return [chr(b) if b in visible else chr(next(rest)) for b in range(256)]
+def encoder(path: str):
+    """Whole texts to their ids as little-endian bytes, by the library's own pipeline. Equal texts of a batch are encoded once."""
+    import os
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
+    from tokenizers import Tokenizer
 
-class Encoder(dict):
-    """Stretch between ASCII white space (UTF-8) -> its ids as little-endian bytes; each distinct stretch is encoded once.
+    tokenizer = Tokenizer.from_file(path)
 
-    The tokenizer's own pattern drops white space and none of its rules reaches over it. Plain stretches go word by word
-    to the library's model, words that were stretches before from memory; others go to its whole pipeline. Only for
-    byte-level tokenizers with this normalizer and pattern (word_bpe_49k). A bounded number of stretches is kept.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.letters = {i: c for i, c in enumerate(byte_letters()) if chr(i) != c}
-
-    def __missing__(self, raw: bytes) -> bytes:
-        stretch = raw.decode()
-        if PLAIN.fullmatch(stretch) and "<|" not in stretch:
-            low = stretch.lower()
-            words = [low] if low.isalpha() else WORDS.findall(low)
-            if len(words) == 1:
-                written = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
-                out = array("i", [t.id for t in self.model.tokenize(written)]).tobytes()
-            else:
-                out = b"".join([self[w.encode()] for w in words])
-        else:
-            out = array("i", self.tokenizer.encode(stretch, add_special_tokens=False).ids).tobytes()
-        if len(self) >= MEMO:
-            self.clear()
-        self[raw] = out
-        return out
+    def encode(raw: list[bytes]) -> list[bytes]:
+        ids: dict[bytes, bytes] = {}
+        call, size = [], 0
+        for k, x in enumerate(distinct := list(dict.fromkeys(raw)), 1):
+            call.append(x)
+            size += len(x)
+            if size >= CALL_BYTES or k == len(distinct):
+                found = tokenizer.encode_batch_fast([decoded(x) for x in call], add_special_tokens=False)
+                ids |= {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(call, found, strict=True)}
+                call, size = [], 0
+        return [ids[x] for x in raw]
 
-    def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
-
-
-def encoder(path: str) -> Encoder:
-    """The worker process's own: later tasks in it find the words that earlier ones met."""
-    import tokenizers
-
-    kept = tokenizers.__dict__.setdefault("_quillspark_encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    return encode
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Writes the store of `docs` (doc_id, text; other columns are not read) at `path`.
 
-    A null or empty text has the end id only. Order: nulls first, then by doc_id, ties by text; repeated rows stay.
+    Any tokenizer file of the library will do. A null or empty text has the end id only; bytes that aren't UTF-8 are read
+    as U+FFFD. Order: nulls first, then by doc_id, ties by text; repeated rows stay. An empty table gives an empty store.
     """
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -96,27 +63,22 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
     ordered = docs.withColumn("shard", range_of(cuts).cast("int")).repartition("shard").sortWithinPartitions("shard", "doc_id", "text").select("shard", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
-        encode, shard, before, end = encoder(tokenizer).encode, None, 0, array("i", [end_id]).tobytes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
-                ids = [encode(x) + end for x in texts(batch)]
-                starts, lengths = [], []
-                for s, x in zip(batch.column(0).to_pylist(), ids, strict=True):
-                    if s != shard:
-                        shard, before = s, 0
-                    starts.append(before)
-                    lengths.append(len(x) // 4)
-                    before += lengths[-1]
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(starts, pa.int64()), pa.array(lengths, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
-                    ["shard", "doc_id", "start_in_shard", "n_tokens", "ids"],
-                )
+        encode, shard, before, end = encoder(tokenizer), None, 0, np.array([end_id], "<u4").tobytes()
+        for batch in batches:
+            ids = [x + end for x in encode(texts(batch))]
+            starts, lengths = [], []
+            for s, x in zip(batch.column(0).to_pylist(), ids, strict=True):
+                if s != shard:
+                    shard, before = s, 0
+                starts.append(before)
+                lengths.append(len(x) // 4)
+                before += lengths[-1]
+            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(starts, pa.int64()), pa.array(lengths, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
+                ["shard", "doc_id", "start_in_shard", "n_tokens", "ids"],
+            )
 
     ordered.mapInArrow(run, ROWS).write.options(**ORC).orc(f"{path}/ids")
     counts = rows(docs.sparkSession, path).groupBy("shard").agg(F.sum(F.col("n_tokens").cast("bigint")).alias("n_ids"))
@@ -157,7 +119,7 @@ def digests(stored: DataFrame) -> DataFrame:
 
 
 def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Writes a store in the shared folder and reads the documents' places and digests back from its files."""
+    """Writes a store in the shared folder and reads the documents' places and digests back from its files; see write() for odd rows."""
     path = scratch(docs.sparkSession, "tokens")
     write(docs, path, tokenizer)
     small_batches(docs.sparkSession)
