@@ -26,6 +26,20 @@ def canonical(url: Column) -> Column:
     return F.concat(host, F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
 
 
+def lowered(headers: Column) -> Column:
+    """The header map by lower-case names. Values of names that differ in case only are joined by `, ` (RFC 9110,
+    section 5.3), in ascending order as a map has none, equal ones once, nulls left out. A null map is empty."""
+    entries = F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>")))
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+
+    def together(name: Column) -> Column:
+        values = F.array_sort(F.array_distinct(F.filter(F.transform(F.filter(entries, lambda e: F.lower(e["key"]) == name), lambda e: e["value"]), lambda v: v.isNotNull())))
+        return F.when(F.size(values) > 0, F.array_join(values, ", "))
+
+    plain = F.map_from_entries(F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+    return F.when(F.size(names) == F.size(entries), plain).otherwise(F.map_from_arrays(names, F.transform(names, together)))
+
+
 def resolve(records: DataFrame) -> DataFrame:
     """record_id, url_key, response_id, status, headers: one row for each revisit in `records`.
 
@@ -34,12 +48,13 @@ def resolve(records: DataFrame) -> DataFrame:
     counts. status: no_response (none earlier), no_validator (the revisit has neither ETag nor Last-Modified),
     mismatch (one of those that it has differs from the response's or lacks there; the response is named yet not
     merged), resolved. headers of resolved ones: the response's, with PERMITTED ones of the revisit in place; else null.
-    Records without url, ts or kind are left out, as they can be placed nowhere; a null header map is empty. Repeated
-    rows give repeated results. Other columns are not read.
+    Records without url, ts or kind are left out, as they can be placed nowhere; a null header map is empty; see lowered()
+    for repeated names. Repeated rows give repeated results; an empty table gives none. Other columns are not read.
+    Urls and values of any length are read whole. A URL's captures within CHUNK seconds are sorted in one task, which
+    spills; all else of a hot URL is spread.
     """
-    lower = F.map_from_entries(F.array_distinct(F.transform(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
     rows = records.where("url IS NOT NULL AND ts IS NOT NULL AND kind IN ('response', 'revisit')")
-    rows = rows.select("record_id", canonical(F.col("url")).alias("url_key"), F.col("ts").cast("bigint").alias("ts"), (F.col("kind") == "response").alias("full"), lower.alias("headers"))
+    rows = rows.select("record_id", canonical(F.col("url")).alias("url_key"), F.col("ts").cast("bigint").alias("ts"), (F.col("kind") == "response").alias("full"), lowered(F.col("headers")).alias("headers"))
     rows = rows.withColumn("chunk", F.floor(F.col("ts") / CHUNK))
     validators = F.struct("record_id", F.col("headers")["etag"].alias("etag"), F.col("headers")["last-modified"].alias("modified"))
     # Responses before revisits' own second: within a second, revisits come first.
@@ -70,43 +85,60 @@ def header_lines(headers: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(headers)), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
 
 
+def variant(url: Column, n: Column) -> Column:
+    """The URL written in another way, by n: with `www.` and port, in capitals with a fragment, or with its parameters turned round."""
+    rest = F.regexp_replace(url, "(?s)^[^:]*://", "")
+    host = F.regexp_extract(rest, "^[^/?#]*", 0)
+    tail = F.substring(rest, F.length(host) + 1, F.length(rest))
+    bare = F.regexp_replace(host, r"^www\.", "")
+    query = F.regexp_extract(tail, r"(?s)^[^?#]*\?([^#]*)", 1)
+    turned = F.concat(F.regexp_extract(tail, "(?s)^[^?#]*", 0), F.when(query == "", "").otherwise(F.concat(F.lit("?"), F.array_join(F.reverse(F.split(query, "&")), "&"))))
+    return F.when(n % 3 == 0, F.concat(F.lit("https://www."), bare, F.lit(":443"), tail)).when(n % 3 == 1, F.concat(F.lit("http://"), F.upper(bare), tail, F.lit("#again"))).otherwise(F.concat(F.lit("http://"), bare, turned))
+
+
 def captures(pages: DataFrame) -> DataFrame:
-    """Records made from `pages` (page_id, url, html): each page's full response at second 10 * page_id, and a revisit five
-    seconds later. By page_id, some revisits carry a stale ETag or none, or came before the page's response did."""
-    tag = F.md5(F.coalesce("html", F.lit("")).cast("binary"))
-    i = F.col("page_id")
-    date = lambda s: F.concat(F.lit("t"), s.cast("string"))
-    full = pages.select(
-        (i * 2).alias("record_id"),
-        "url",
-        (i * 10).alias("ts"),
-        F.lit("response").alias("kind"),
-        F.create_map(F.lit("ETag"), tag, F.lit("Content-Length"), F.length(F.coalesce("html", F.lit(""))).cast("string"), F.lit("Date"), date(i * 10), F.lit("Cache-Control"), F.lit("no-cache")).alias("headers"),
-    )
-    at = F.when(i % 7 == 0, i * 10 - 5).otherwise(i * 10 + 5)
-    etag = F.when(i % 5 == 0, None).when(i % 4 == 3, "stale").otherwise(tag)
-    seen = pages.select(
-        (i * 2 + 1).alias("record_id"),
-        "url",
-        at.alias("ts"),
-        F.lit("revisit").alias("kind"),
-        F.create_map(F.lit("etag"), etag, F.lit("Content-Length"), F.lit("0"), F.lit("Date"), date(at), F.lit("Cache-Control"), F.lit("max-age=60")).alias("headers"),
+    """Records made from `pages` (page_id, url, html; other columns are not read), three a page, over many hours.
+
+    The page's full response at second 10 * page_id; a revisit of it under another form of the url, seconds or hours
+    later or before it; and the host's root, which all pages of a host capture, four at one second: every third time as a
+    response, else as a revisit. By page_id, some carry a stale ETag or none. A null url or html stays null or is empty;
+    an empty table gives no records.
+    """
+    i, html = F.col("page_id"), F.coalesce("html", F.lit(""))
+    tag, host = F.md5(html.cast("binary")), F.regexp_extract(F.regexp_replace("url", "(?s)^[^:]*://", ""), "^[^/?#]*", 0)
+
+    def record(n: int, url: Column, ts: Column, kind: Column, etag: Column, size: Column, name: str, cache: str) -> Column:
+        headers = F.create_map(F.lit(name), etag, F.lit("Content-Length"), size, F.lit("Date"), F.concat(F.lit("t"), ts.cast("string")), F.lit("Cache-Control"), F.lit(cache))
+        return F.struct((i * 3 + n).alias("record_id"), url.alias("url"), ts.alias("ts"), kind.alias("kind"), headers.alias("headers"))
+
+    own, later, root = i * 10, i * 10 + F.when(i % 7 == 0, -5).when(i % 4 == 1, 7200).otherwise(5), F.expr("page_id div 4 * 400")
+    records = F.array(
+        record(0, F.col("url"), own, F.lit("response"), tag, F.length(html).cast("string"), "ETag", "no-cache"),
+        record(1, variant(F.col("url"), i), later, F.lit("revisit"), F.when(i % 5 == 0, None).when(i % 4 == 3, "stale").otherwise(tag), F.lit("0"), "etag", "max-age=60"),
+        record(2, F.concat(F.lit("http://"), host, F.lit("/")), root, F.when(i % 3 == 0, "response").otherwise("revisit"), F.when(i % 5 == 0, F.lit("old")).otherwise(F.md5(host.cast("binary"))), F.lit("1"), "ETAG", "no-store"),
     )
-    return full.union(seen)
+    return pages.select(F.explode(records).alias("r")).select("r.*")
 
 
 SQL = r"""
-WITH c AS (SELECT page_id, url, md5(coalesce(html, '')) AS tag, length(coalesce(html, '')) AS size,
-  regexp_replace(regexp_replace(url, '(?s)#.*$', ''), '(?i)^[a-z][a-z0-9+.-]*://', '') AS rest FROM pages),
+WITH c AS (SELECT page_id AS i, url, md5(coalesce(html, '')) AS tag, length(coalesce(html, '')) AS size, regexp_replace(url, '(?s)^[^:]*://', '') AS bare0 FROM pages),
+h AS (SELECT *, regexp_extract(bare0, '^[^/?#]*') AS host FROM c),
+t AS (SELECT *, substr(bare0, length(host) + 1) AS tail, regexp_replace(host, '^www\.', '') AS bare FROM h),
+q AS (SELECT *, regexp_extract(tail, '(?s)^[^?#]*\?([^#]*)', 1) AS asked, regexp_extract(tail, '(?s)^[^?#]*') AS page FROM t),
+r AS (
+  SELECT i * 3 AS record_id, url, i * 10 AS ts, true AS is_full, tag AS etag, size::VARCHAR AS size, 'no-cache' AS cache FROM q
+  UNION ALL SELECT i * 3 + 1, CASE WHEN i % 3 = 0 THEN 'https://www.' || bare || ':443' || tail WHEN i % 3 = 1 THEN 'http://' || upper(bare) || tail || '#again'
+      ELSE 'http://' || bare || page || CASE WHEN asked = '' THEN '' ELSE '?' || array_to_string(list_reverse(string_split(asked, '&')), '&') END END,
+    i * 10 + CASE WHEN i % 7 = 0 THEN -5 WHEN i % 4 = 1 THEN 7200 ELSE 5 END, false, CASE WHEN i % 5 = 0 THEN NULL WHEN i % 4 = 3 THEN 'stale' ELSE tag END, '0', 'max-age=60' FROM q
+  UNION ALL SELECT i * 3 + 2, 'http://' || host || '/', i // 4 * 400, i % 3 = 0, CASE WHEN i % 5 = 0 THEN 'old' ELSE md5(host) END, '1', 'no-store' FROM q),
+s AS (SELECT *, regexp_replace(regexp_replace(url, '(?s)#.*$', ''), '(?i)^[a-z][a-z0-9+.-]*://', '') AS rest FROM r WHERE url IS NOT NULL),
 k AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), ':(80|443)$', ''), '^www\.', '') AS host,
-  regexp_extract(rest, '(?s)^[^/?]*([^?]*)', 1) AS path, regexp_extract(rest, '(?s)\?(.*)$', 1) AS query FROM c),
-u AS (SELECT page_id, tag, size, host || CASE WHEN path = '' THEN '/' ELSE path END ||
+  regexp_extract(rest, '(?s)^[^/?]*([^?]*)', 1) AS path, regexp_extract(rest, '(?s)\?(.*)$', 1) AS query FROM s),
+u AS (SELECT record_id, ts, is_full, etag, size, cache, host || CASE WHEN path = '' THEN '/' ELSE path END ||
   CASE WHEN query = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(query, '&')), '&') END AS url_key FROM k),
-f AS (SELECT page_id * 2 AS response_id, url_key, page_id * 10 AS ts, tag, size FROM u),
-v AS (SELECT page_id * 2 + 1 AS record_id, url_key, CASE WHEN page_id % 7 = 0 THEN page_id * 10 - 5 ELSE page_id * 10 + 5 END AS ts,
-  CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 4 = 3 THEN 'stale' ELSE tag END AS etag FROM u),
-j AS (SELECT v.*, f.response_id, f.tag, f.size FROM v ASOF LEFT JOIN f ON v.url_key = f.url_key AND v.ts > f.ts)
+f AS (SELECT * FROM u WHERE is_full QUALIFY row_number() OVER (PARTITION BY url_key, ts ORDER BY record_id DESC) = 1),
+j AS (SELECT v.record_id, v.url_key, v.ts, v.etag, v.cache, f.record_id AS response_id, f.etag AS tag, f.size FROM (SELECT * FROM u WHERE NOT is_full) v ASOF LEFT JOIN f ON v.url_key = f.url_key AND v.ts > f.ts)
 SELECT record_id, url_key, response_id,
   CASE WHEN response_id IS NULL THEN 'no_response' WHEN etag IS NULL THEN 'no_validator' WHEN etag <> tag THEN 'mismatch' ELSE 'resolved' END AS status,
-  CASE WHEN response_id IS NOT NULL AND etag = tag THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || size || chr(10) || 'date: t' || ts || chr(10) || 'etag: ' || etag END AS headers
+  CASE WHEN response_id IS NOT NULL AND etag = tag THEN 'cache-control: ' || cache || chr(10) || 'content-length: ' || size || chr(10) || 'date: t' || ts || chr(10) || 'etag: ' || etag END AS headers
 FROM j"""
