@@ -45,8 +45,9 @@ def lookup(shards: list[str], slots: int = SLOTS) -> list[int]:
 
 
 def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    """The key's slot; a null key has the slot of the hash's seed."""
-    return F.pmod(F.xxhash64(key.cast("string")), F.lit(slots)).cast("int")
+    """The key's slot, from 60 bits of its digest as text; a null key has the empty text's slot."""
+    digest = F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
+    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), F.lit(slots)).cast("int")
 
 
 def names(n: int = SHARDS) -> list[str]:
@@ -56,7 +57,8 @@ def names(n: int = SHARDS) -> list[str]:
 def place(rows: DataFrame, key: str, shards: list[str] | None = None, slots: int = SLOTS, slot: str = "slot", shard: str = "shard") -> DataFrame:
     """`rows` with two columns more, slot and shard (names that must be free in `rows`); nothing is shuffled.
 
-    Equal keys share a shard, repeated rows stay, and null keys all go to one defined shard. An empty table stays empty.
+    Equal keys share a shard, repeated rows stay, and null keys all go to one defined shard. An empty table stays empty;
+    no other column is read. The table that is broadcast has at most MOST_SLOTS rows.
     """
     spark: SparkSession = rows.sparkSession
     taken = {c.lower() for c in rows.columns}
@@ -66,3 +68,20 @@ def place(rows: DataFrame, key: str, shards: list[str] | None = None, slots: int
     claimed = spark.createDataFrame([(i, shards[s]) for i, s in enumerate(lookup(shards, slots))], f"`__slot` int, `{shard}` string")
     placed = rows.withColumn(slot, slot_of(rows[key], slots))
     return placed.join(F.broadcast(claimed), F.col(slot) == F.col("__slot")).drop("__slot")
+
+
+def oracle() -> str:
+    """The same in DuckDB SQL: the claims, decided by whole permutations, as two hexadecimal digits a slot."""
+    orders = []
+    for name in names():
+        d = hashlib.sha256(name.encode()).digest()
+        at, skip = int.from_bytes(d[:8], "big") % SLOTS, int.from_bytes(d[8:16], "big") % (SLOTS - 1) + 1
+        orders.append(map(lambda j, at=at, skip=skip: (at + j * skip) % SLOTS, range(SLOTS)))
+    claimed: dict[int, int] = {}
+    while len(claimed) < SLOTS:
+        i = len(claimed) % SHARDS
+        claimed[next(p for p in orders[i] if p not in claimed)] = i
+    claims = "".join(f"{claimed[p]:02x}" for p in range(SLOTS))
+    return f"""
+WITH d AS (SELECT doc_id, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {SLOTS})::INT AS slot FROM documents)
+SELECT doc_id, slot, 'shard-' || lpad((('0x' || substr('{claims}', 2 * slot + 1, 2))::INT)::VARCHAR, 5, '0') AS shard FROM d"""
