@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import filter_rows, small_batches, texts
+from quillspark.llm.common import decoded, filter_rows, small_batches, texts
 
 #: Labelled rows that the fit takes, by label: at most so many clean and so many toxic ones.
 SAMPLE = (5000, 3000)
@@ -131,7 +131,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: tuple[int, int]) -
         for batch in batches:
             votes, features = [], []
             for raw in texts(batch):
-                text = raw.decode()
+                text = decoded(raw)
                 words = set(WORD.findall(text.lower()))
                 votes.append(bytes(int(v(text, words)) for v in voters))
                 features.append(np.array(sorted(present(Counter(code(s) for w in words for s in stems(w)))), np.uint32).tobytes())
@@ -248,7 +248,7 @@ def scores(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(x.decode()) for x in texts(batch)], pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(decoded(x)) for x in texts(batch)], pa.float64())], ["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -258,4 +258,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAM
     """The rows of `docs`, all columns, that score under the threshold; nothing is shuffled."""
     small_batches(docs.sparkSession)
     model = fit(docs, labels, sample)
-    return filter_rows(docs, "text", lambda batch: [model.score(x.decode()) < THRESHOLD for x in batch])
+    return filter_rows(docs, "text", lambda batch: [model.score(decoded(x)) < THRESHOLD for x in batch])
