@@ -254,27 +254,38 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     blank text has no shingles and is linked with nothing, other empty texts included: it is its own component. Rows
     with equal texts are one class, whatever their ids; rows that repeat a doc_id are judged by their own text each.
     component_id is the least doc_id of the component; nulls do not count, and a component of null ids only has null.
-    kept: doc_id is component_id (for such a null component: true). An empty table gives an empty result.
+    kept: doc_id is component_id (for such a null component: true). An empty table gives an empty result. Texts of any
+    length are read whole, as bytes: what isn't UTF-8 is part of its word.
     """
-    spark, paths = docs.sparkSession, []
-    put = lambda df, tag: materialize(df, tag, paths)
-    small_batches(spark)
+    paths: list[str] = []
+    small_batches(docs.sparkSession)
+    try:
+        return materialize(_components_of(docs, shingle, percent, miss, lambda df, tag: materialize(df, tag, paths)), "near-duplicates")
+    finally:
+        discard(docs.sparkSession, paths)
+
+
+def _components_of(docs: DataFrame, shingle: int, percent: int, miss: float, put: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """What near_duplicates returns, as a plan over tables that `put` wrote."""
     docs = docs.select("doc_id", "text")
     signed = put(docs.mapInArrow(signer(shingle), SIGNATURE), "signatures")
     classes = put(
         signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("bands", "signature"))), "classes"
     )
     member = classes.select("set_key", F.explode("bands").alias("band"))
-    buckets = member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    apart = lambda df: df.hint("rebalance")  # an exchange of its own beside an aggregate, so that a hot key's join can be split
+    buckets = apart(member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     mates = put(member.join(buckets, "band"), "buckets")
     weights = mates.groupBy("set_key").agg(F.sum("n").alias("weight"))
-    pivots = mates.join(weights, "set_key").groupBy("band").agg(F.max(F.struct("weight", "set_key")).alias("best"))
+    pivots = apart(mates.join(weights, "set_key").groupBy("band").agg(F.max(F.struct("weight", "set_key")).alias("best")))
     shared = put(mates.select("set_key", "band").join(pivots, "band").selectExpr("set_key", "band", "best", "best.set_key AS pivot"), "pivots")
 
     compared = shared.select("set_key").distinct()
     first_ids = put(classes.join(compared, "set_key", "left_semi").select("first_id"), "compared").hint("merge")
     source = docs.join(first_ids, docs.doc_id.eqNullSafe(first_ids.first_id), "left_semi")
     sets = put(source.mapInArrow(set_maker(shingle), "set_key binary, shingles binary"), "sets")
+    if sets.count() > sets.select("set_key").distinct().count():  # rows that repeat an id: each set once
+        sets = put(sets.dropDuplicates(["set_key"]), "sets")
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
         return exact(attach(pairs, classes, "signature").mapInArrow(pruner(percent / 100, miss), "a binary, b binary"), tag)
@@ -300,7 +311,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     placed = put(labelled(shared.select("set_key", "band"), labels, "set_key", "label"), "placed")
     sizes = placed.groupBy("band", "label").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("band").agg(F.count("*").alias("k"), F.sum("n").alias("ny"), F.max(F.struct("n", "label")).alias("top")).where("k > 1")
-    mixed = mixed.selectExpr("band", "ny - top.n AS nx", "ny", "top.label AS largest")
+    mixed = apart(mixed.selectExpr("band", "ny - top.n AS nx", "ny", "top.label AS largest"))
     full = placed.join(mixed, "band").join(classes.select("set_key", "bands"), "set_key")
     full = put(full.withColumn("pos", F.expr("cast(array_position(bands, band) - 1 AS int)")), "mixed")
     few = full.where(F.col("nx") * F.col("ny") <= FEW).withColumn("earlier", F.expr("slice(bands, 1, pos)"))
@@ -325,13 +336,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     of = keyed.join(least, "label").select("set_key", "component_id")
     linked = signed.where("n_shingles > 0").select("doc_id", "n_shingles", "set_key").join(of, "set_key").select("doc_id", "n_shingles", "component_id")
     alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    result = materialize(linked.union(alone).withColumn("kept", F.expr("doc_id <=> component_id")), "near-duplicates")
-    discard(spark, paths)
-    return result
+    return linked.union(alone).withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs`, all columns, whose doc_id is the least of its component. Rows of one doc_id all stay if any is kept; among rows without an id, those outside any component with ids stay."""
+    """The rows of `docs`, all columns, whose doc_id is the least of its component; an empty table stays empty.
+
+    Rows of one doc_id all stay if any is kept; among rows without an id, those outside any component with ids stay.
+    Null, empty and blank texts stay. Names of other columns do not matter.
+    """
     kept = near_duplicates(docs, shingle, percent).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
     kept = materialize(kept, "kept").hint("merge")
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept_id"]), "left_semi")
+
+
+def oracle(size: int = 2, percent: int = 80) -> str:
+    """The same in DuckDB SQL: every pair with a common shingle, then the components. Small tables only."""
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	
+]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(greatest(len(w) - {size} + 1, 1)), lambda i: array_to_string(list_slice(w, i + 1, i + {size}), ' '))) END AS s FROM w),
+u AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+links AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= {percent} * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT doc_id, doc_id AS other FROM s UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)"""

@@ -73,4 +73,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": chat_format.SQL, "op2_url_filter": url_filter.SQL, "op4_decontaminate": decontaminate.oracle(), "op7_source_mixing": mixing.oracle(), "op8_warc_revisits": revisits.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": chat_format.SQL, "op2_url_filter": url_filter.SQL, "op4_decontaminate": decontaminate.oracle(), "op6_near_duplicates": near_dedup.oracle(), "op7_source_mixing": mixing.oracle(), "op8_warc_revisits": revisits.SQL, "op9_shard_lookup": shard.oracle()}

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,17 +41,54 @@ def test_chat_escapes_leave_no_control_string(spark):
 def test_chat_layouts(spark):
     for schema, row, want in (
         ("k bigint, prompt string, response string, note string", (1, "p", "r", "n"), [("user", "p"), ("assistant", "r")]),
+        ("k bigint, prompt string, response string, turn bigint, conv_id string, said string", (1, None, "r", 7, "x", "y"), [("user", None), ("assistant", "r")]),
         ("k bigint, instruction string, input string, output string", (1, "i", "", "o"), [("user", "i"), ("assistant", "o")]),
+        ("k bigint, instruction string, input string, output string", (1, "i", "n", None), [("user", "i\n\nn"), ("assistant", None)]),
         ("k bigint, messages array<struct<role string, content string>>", (1, [("user", "a"), ("assistant", "b")]), [("user", "a"), ("assistant", "b")]),
-        ("k bigint, conversations array<struct<from string, value string>>", (1, [("human", "a"), ("gpt", "b")]), [("user", "a"), ("assistant", "b")]),
+        ("k bigint, messages array<struct<role string, content string>>", (1, []), [(None, None)]),
+        ("k bigint, messages array<struct<role string, content string>>", (1, None), [(None, None)]),
+        ("k bigint, conversations array<struct<from string, value string>>", (1, [("human", "a"), ("gpt", "b"), None]), [("user", "a"), ("assistant", "b"), (None, None)]),
+        ("k bigint, turn bigint, role string, text string, extra string", (1, 4, "user", "t", "x"), [("user", "t")]),
     ):
-        got = chat_format.canonical_turns(spark.createDataFrame([row], schema), "k").orderBy("turn").collect()
-        assert [(r.role, r.text) for r in got] == want
+        records = spark.createDataFrame([row], schema)
+        got = chat_format.canonical_turns(records, "k").orderBy("turn").collect()
+        assert [(r.role, r.text) for r in got] == want and chat_format.canonical_turns(records.limit(0), "k").count() == 0
+    assert got[0].turn == 4
     with pytest.raises(ValueError):
-        chat_format.layout_of(spark.createDataFrame([(1,)], "z int").schema)
-    mixed = [(1, '{"prompt":"p","response":"r"}'), (2, '{"messages":[{"content":"c","role":"user"},{"role":"assistant","content":null}]}'), (3, "no json"), (4, None)]
-    got = chat_format.canonical_json_turns(spark.createDataFrame(mixed, "k bigint, j string"), "k", "j").collect()
-    assert sorted((r.conv_id, r.turn, r.role or "", r.text or "") for r in got) == [(1, 0, "user", "p"), (1, 1, "assistant", "r"), (2, 0, "user", "c"), (2, 1, "assistant", ""), (3, 0, "", ""), (4, 0, "", "")]
+        chat_format.canonical_turns(spark.createDataFrame([(1,)], "z int"), "k")
+
+
+def test_chat_json_records(spark):
+    cases = {
+        '{"prompt":"p","response":"r"}': [("user", "p"), ("assistant", "r")],
+        '{"prompt":"p","response":"r","id":3}': [("user", "p"), ("assistant", "r")],
+        '{"system":"s","prompt":null,"response":"r"}': [("system", "s"), ("user", None), ("assistant", "r")],
+        '{"instruction":"i","input":"n","output":5}': [("user", "i\n\nn"), ("assistant", "5")],
+        '{"messages":[{"content":"c","role":"user"},{"role":"assistant","content":null,"name":"x"}]}': [("user", "c"), ("assistant", None)],
+        '{"conversations":[{"from":"human","value":"\\ud800"},{"from":"gpt","value":""}]}': [("user", "\ufffd"), ("assistant", "")],
+        '{"messages":[]}': [(None, '{"messages":[]}')],
+        '{"messages[].role":1,"messages[].content":2}': [(None, '{"messages[].role":1,"messages[].content":2}')],
+        "no json": [(None, "no json")],
+        "[" * 100_000: [(None, "[" * 100_000)],
+        "": [(None, "")],
+    }
+    rows = [*enumerate(cases), (None, None), (None, None)]
+    df = spark.createDataFrame([(k, j, "x") for k, j in rows], "k bigint, j string, turn string")
+    got = {}
+    for r in chat_format.canonical_json_turns(df, "k", "j").collect():
+        got.setdefault(r.conv_id, []).append((r.turn, r.role, r.text))
+    assert got.pop(None) == [(0, None, None)] * 2
+    assert got == {k: [(i, *t) for i, t in enumerate(turns)] for k, turns in enumerate(cases.values())}
+    assert chat_format.canonical_json_turns(df.limit(0), "k", "j").count() == 0
+
+
+def test_chat_odd_rows(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "long " * 300_000, "x"), (1, 1, "assistant", "y", "x")], "conv_id bigint, turn bigint, role string, text string, segment string")
+    broken = turns.limit(1).withColumn("conv_id", F.lit(2).cast("bigint")).withColumn("role", F.lit("assistant")).withColumn("text", F.lit(b"a\xff</s>").cast("string"))
+    got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_turns(turns.union(broken))).collect()}
+    assert got[1].turns_sha256 == hashlib.sha256(("user\n" + "long " * 300_000 + "\nassistant\ny\n").encode()).hexdigest()
+    assert (got[2].loss_chars, got[2].loss_sha256) == (6, hashlib.sha256("a\ufffd</s>".encode()).hexdigest())
+    assert chat_format.read_back(chat_format.format_turns(turns.limit(0))).count() == 0
 
 
 # op2
@@ -72,6 +110,27 @@ def test_urls(spark):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, url_filter.rule_table(spark)).collect()}
     assert got == {i: brute(u) for i, u in enumerate(urls)}
     assert {r.verdict for r in url_filter.judge(pages, url_filter.rule_table(spark).limit(0), "block").collect()} == {"block"}
+    assert url_filter.judge(pages.limit(0), url_filter.rule_table(spark)).count() == 0
+    odd = spark.createDataFrame([(None, "http://net/" + "x" * 500_000), (None, "http://net/" + "x" * 500_000)], "page_id bigint, url string")
+    odd = odd.union(odd.limit(1).withColumn("url", F.lit(b"http://a.net/\xff").cast("string")))
+    assert [(r.rule, r.verdict) for r in url_filter.judge(odd, url_filter.rule_table(spark)).collect()] == [("net/", "block")] * 3
+
+
+def test_a_hot_url_is_split(spark):
+    pages = spark.range(0, 60_000, 1, 8).select(F.col("id").alias("page_id"), F.when(F.col("id") % 3 == 0, "http://a.net/hot").otherwise(F.concat(F.lit("http://b.org/"), "id")).alias("url"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(kept, ("-1", "10000", "5000", "16"), strict=True):
+            spark.conf.set(k, v)
+        out = url_filter.judge(pages, url_filter.rule_table(spark))
+        assert out.where("verdict = 'block'").count() == 20_000
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 
 
 def test_many_rules_take_the_salted_join(spark, monkeypatch):
@@ -101,6 +160,63 @@ def test_syncmers(spark):
         f = syncmers.sketch(x)
         assert syncmers.likeness(f, f) == 1 and all((a == b).all() for a, b in zip(syncmers.read(syncmers.written(f)), f, strict=True))
     assert syncmers.likeness(syncmers.sketch(""), syncmers.sketch(t)) == 0
+    r = random.Random(8)
+    short = ["".join(r.choice("ab c") for _ in range(n)) for n in range(1, 24) for _ in range(20)]
+    for x in short:
+        at = brute_syncmers(x) if len(x) >= syncmers.K else []
+        assert syncmers.syncmers(x)[1].tolist() == (at or [0])
+    alone = {x for x in short if len(x) >= syncmers.K and not brute_syncmers(x)}
+    assert alone and len({int(syncmers.syncmers(x)[0][0]) for x in alone}) == len(alone)  # the whole text, not its beginning
+
+
+M = 2**64 - 1
+
+
+def plain_mix(h):
+    h = ((h ^ (h >> 33)) * 0xFF51AFD7ED558CCD) & M
+    return h ^ (h >> 29)
+
+
+def plain_roll(text):
+    h = 0
+    for c in text:
+        h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) & M
+    return plain_mix(h)
+
+
+def plain_anchors(text):
+    """{hash: first position}, in whole numbers, one k-mer at a time."""
+    k, s = syncmers.K, syncmers.S
+    out = {}
+    for i in range(len(text) - k + 1):
+        inner = [plain_roll(text[j : j + s]) for j in range(i, i + k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.setdefault(plain_mix((inner[0] * 3 + inner[s] * 5 + inner[-1] * 7) & M) >> 32, i)
+    return out or ({plain_roll(text) >> 32: 0} if text else {})
+
+
+def plain_likeness(x, y):
+    if not x and not y:
+        return 1.0
+    pairs = sorted((x[h], y[h]) for h in x.keys() & y.keys())
+    chain = [1] * len(pairs)  # the longest rising chain that ends at each
+    for i, (p, q) in enumerate(pairs):
+        chain[i] += max((chain[j] for j, (a, b) in enumerate(pairs[:i]) if a < p and b < q), default=0)
+    return max(chain, default=0) / len(x.keys() | y.keys())
+
+
+def test_fingerprints_against_plain_arithmetic(spark):
+    docs = with_broken(documents(spark, [(i, t) for i, t in ODD if i != 8] + [(20, words(70, 150) + " " + words(71, 100)), (21, words(71, 100) + " " + words(70, 150))]))
+    rows = sorted((r.doc_id is not None, r.doc_id or 0, bytes(r.raw or b"")) for r in docs.select("doc_id", F.col("text").cast("binary").alias("raw")).collect())
+    want = []
+    for k, (known, i, raw) in enumerate(rows):
+        t, n = raw.decode("utf-8", "replace"), rows[(k + 1) % len(rows)][2].decode("utf-8", "replace")
+        half = len(t) // 2
+        e = t[: len(t) - half] + n[:half]
+        f = [plain_anchors(x) for x in (t, e, n)]
+        text = lambda a: " ".join(f"{h:08x}@{a[h]}" for h in sorted(a))
+        want.append((i if known else None, len(t), hashlib.sha256(e.encode()).hexdigest(), text(f[0]), text(f[1]), plain_likeness(f[0], f[1]), plain_likeness(f[0], f[2])))
+    assert sorted(map(tuple, syncmers.fingerprints(docs).collect()), key=str) == sorted(want, key=str)
 
 
 def test_long_texts_keep_their_anchors(spark):
@@ -163,6 +279,21 @@ def test_token_store(spark, tmp_path, monkeypatch, rows_a_range):
     assert token_store.read(spark, str(tmp_path / "e")).count() == 0
 
 
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_token_store_whole_table(spark, tmp_path, file):
+    """Every document of sf0.01, and one that isn't UTF-8, against the library."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(file)
+    docs = with_broken(table(spark, "/root/testdata/sf0.01", "documents"))
+    t, at, want = Tokenizer.from_file(path), 0, []
+    for i, raw in sorted((r.doc_id, bytes(r.raw or b"")) for r in docs.select("doc_id", F.col("text").cast("binary").alias("raw")).collect()):
+        ids = [*t.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids, 1]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, token_store.encoded(docs, path).collect())) == want
+
+
 def test_orc_has_indexes_and_bloom_filters(spark, tmp_path):
     token_store.write(table(spark, SF, "documents"), str(tmp_path / "s"), VOCABULARY)
     part = str(next((tmp_path / "s" / "ids").glob("part-*.orc")))
@@ -232,6 +363,16 @@ def test_near_duplicates_whole_table(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components([(r.doc_id, r.text) for r in docs.collect()], 5, 80)
 
 
+def test_near_duplicates_repeated_rows_and_long_texts(spark):
+    long = words(80, 30_000)
+    rows = [(1, words(81, 60))] * 200 + [(1, words(81, 59))] * 200 + [(2, long), (3, long.replace(" ", "  ") + " x"), (4, "a b " * 20_000), (5, "b a " * 20_000)]
+    docs = with_broken(documents(spark, rows, WIDE))
+    got = near_dedup.near_duplicates(docs, 2, 80).collect()
+    assert len(got) == len(rows) + 1
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 2), (3, 2), (4, 4), (5, 4), (-5, -5)}
+    assert {r.doc_id for r in near_dedup.drop_near_duplicates(docs).collect()} == {1, 2, 4, -5}
+
+
 def test_drop_near_duplicates_keeps_columns(spark):
     docs = documents(spark, ODD, WIDE)
     kept = near_dedup.drop_near_duplicates(docs)
@@ -323,6 +464,30 @@ def test_revisits(spark):
     assert got.count() == 7
 
 
+def test_revisits_repeated_headers_and_empty_tables(spark):
+    schema = "record_id bigint, url string, ts bigint, kind string, headers map<string,string>"
+    rows = [
+        (1, "http://a.com/", 1, "response", {"ETag": "e", "etag": "e", "Vary": "a", "vary": "b", "VARY": None, "X": None, "x": None}),
+        (2, "http://a.com/", 2, "revisit", {"ETag": "e", "Date": "1", "DATE": "2"}),
+        (3, "http://a.com/" + "x" * 300_000, 2, "revisit", {"ETag": "e" * 300_000}),
+    ]
+    records = spark.createDataFrame(rows, schema)
+    got = {r.record_id: (r.status, r.headers) for r in revisits.resolve(records).collect()}
+    assert got == {2: ("resolved", {"etag": "e", "vary": "a, b", "x": None, "date": "1, 2"}), 3: ("no_response", None)}
+    assert revisits.resolve(records.limit(0)).count() == 0
+    pages = spark.createDataFrame([(None, "http://a.com", "h"), (1, None, None), (1, None, None)], "page_id bigint, url string, html string")
+    assert revisits.captures(pages).count() == 9 and revisits.captures(pages.limit(0)).count() == 0
+    revisits.resolve(revisits.captures(pages)).collect()
+
+
+def test_captures_meet_across_pages_and_hours(spark):
+    found = revisits.resolve(revisits.captures(table(spark, "/root/testdata/sf0.01", "pages"))).toPandas()
+    assert set(found.status) == {"resolved", "mismatch", "no_validator", "no_response"}
+    met = found.dropna(subset="response_id")
+    assert (met.response_id // 3 != met.record_id // 3).sum() > 50  # another page's capture
+    assert met.response_id.value_counts().max() > 2
+
+
 # op9
 
 
@@ -355,6 +520,11 @@ def test_placement(spark):
     got = shard.place(docs, "doc_id")
     assert got.count() == len(ODD) and got.columns == [*docs.columns, "slot_", "shard_"]
     assert got.groupBy("doc_id").agg(F.countDistinct("shard_").alias("n")).where("n > 1").count() == 0
+    claims = shard.lookup(shard.names())
+    for r in got.collect():
+        slot = int(hashlib.md5(str(r.doc_id if r.doc_id is not None else "").encode()).hexdigest()[:15], 16) % shard.SLOTS
+        assert (r.slot_, r.shard_) == (slot, f"shard-{claims[slot]:05d}")
+    assert shard.place(docs.limit(0), "doc_id").count() == 0
 
 
 # op10
