@@ -2,23 +2,31 @@
 
 A source's weight is its token share to the power of an exponent from 0 (all sources alike) to 1 (as they are). The
 exponent is bisected, PROBES points a round, to the least at which no source is read more than `max_repeats` times as
-often as another, or to the largest at which the weights' entropy is at least `entropy`. Weights times the
-token budget are the sources' targets. A source is read whole as often as its target holds it, and the rest is a prefix
-of its block permutation: documents are dealt by hash into BLOCKS blocks, blocks follow in order, and only within the
-block in which the target ends are documents ordered and cut.
+often as another, or to the largest at which the weights' entropy is at least `entropy`. Weights times the token budget
+are the sources' targets.
+
+Targets are realised as block permutations. Each pass over a source has a permutation of its own, from a digest of the
+pass and the id. A source is read whole as often as its target holds it; of the next pass it is read up to its target:
+documents are dealt by digest into 4096 parts, and only within the part in which the target ends are they ordered and
+cut. The passes of a source fill the whole run evenly, however many they are, so each of the run's BLOCKS blocks has all
+sources at their weights, in the order of the digests.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize
+from quillspark.llm.common import discard, materialize
 
 MAX_REPEATS = 2.0
 PROBES, ROUNDS = 32, 6
-#: Hexadecimal digits of the hash that name a block: 4096 blocks.
+#: Hexadecimal digits of the digest that name a part of a pass: 4096 parts.
 DIGITS = 3
+#: Blocks of the run, and about how many tokens a partition of mixed documents has (of whole blocks, at most one each).
+BLOCKS, TOKENS_A_PARTITION = 1 << 18, 5_000_000
 #: Sources up to which their few numbers are broadcast to the documents.
 BROADCAST_SOURCES = 100_000
 
@@ -33,9 +41,15 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
-def shuffled(doc_id: Column) -> Column:
-    """The documents' order in a permutation: equal ids stand at one place; null ids at the place of the empty text."""
-    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+def place_of(doc_id: Column, turn: Column) -> Column:
+    """A document's place in the permutation of a pass: equal ids stand at one place; null ids at that of the empty text."""
+    return F.md5(F.concat(turn.cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+
+
+def block_of(place: Column, turn: Column, reads: Column) -> Column:
+    """The run's block in which a place of a pass falls, if the source is read `reads` times over the run."""
+    share = F.conv(F.substring(place, 1, 13), 16, 10).cast("bigint") / F.lit(float(16**13))
+    return F.least(F.lit(BLOCKS - 1).cast("bigint"), F.floor((turn - 1 + share) / reads * F.lit(float(BLOCKS))))
 
 
 def exponent(totals: DataFrame, max_repeats: float | None = MAX_REPEATS, entropy: float | None = None) -> float:
@@ -68,68 +82,97 @@ def exponent(totals: DataFrame, max_repeats: float | None = MAX_REPEATS, entropy
     return high if entropy is None else low
 
 
-def copies(docs: DataFrame, budget_tokens: int | None = None, max_repeats: float | None = MAX_REPEATS, entropy: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents' order keys, per-source plan); see `mixed`."""
-    keyed = docs.select(F.col("doc_id"), F.col("source"), token_count(F.col("text")).alias("n_tokens"))
-    keyed = keyed.withColumn("key", source_key(F.col("source"))).withColumn("place", shuffled(F.col("doc_id")))
-    keyed = materialize(keyed.withColumn("block", F.substring("place", 1, DIGITS)), "mixing")
-    blocks = materialize(keyed.groupBy("key", "block").agg(F.sum("n_tokens").alias("tokens")), "blocks")
-    totals = blocks.groupBy("key").agg(F.sum("tokens").alias("tokens"))
+def planned(docs: DataFrame, budget_tokens: int | None, max_repeats: float | None, entropy: float | None, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, n_tokens, key of each row; per source key, tokens, target, whole, reads, cut, exponent); see `mixed`."""
+    keyed = materialize(docs.select("doc_id", "source", token_count(docs["text"]).alias("n_tokens"), source_key(docs["source"]).alias("key")), "mixing", paths)
+    totals = materialize(keyed.groupBy("key").agg(F.sum("n_tokens").alias("tokens")), "totals", paths)
     alpha = exponent(totals, max_repeats, entropy)
-    shares = totals.crossJoin(F.broadcast(totals.agg(F.sum("tokens").alias("all"))))
+    shares = totals.crossJoin(F.broadcast(totals.agg(F.sum("tokens").alias("all"))))  # one row beside each
     raw = shares.withColumn("w", F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.col("all"), F.lit(alpha))).otherwise(0.0))
     norm = raw.agg(F.sum("w").alias("z"), F.max(F.when(F.col("w") > 0, F.col("tokens") / F.col("w"))).alias("cover"))
     raw = raw.crossJoin(F.broadcast(norm))
     total = F.col("cover") * F.col("z") if budget_tokens is None else F.lit(float(budget_tokens))
-    plan = raw.withColumn("target", F.round(F.coalesce(total * F.col("w") / F.col("z"), F.lit(0.0))).cast("bigint"))
-    plan = plan.withColumn("whole", F.when(F.col("tokens") > 0, F.expr("target div tokens")).otherwise(1))
-    plan = plan.select("key", "tokens", "target", "whole", (F.col("target") - F.col("whole") * F.col("tokens")).alias("rest"), F.lit(alpha).alias("exponent"))
-    # The block in which a source's partial pass ends, and the last place in it that still fits.
-    running = Window.partitionBy("key").orderBy("block")
-    upto = blocks.withColumn("upto", F.sum("tokens").over(running)).withColumnRenamed("tokens", "in_block")
-    ends = upto.join(plan.select("key", "rest", F.col("tokens").alias("of")), "key").where("of > 0 AND upto > rest").groupBy("key").agg(F.min_by(F.struct("block", (F.col("upto") - F.col("in_block")).alias("before")), "block").alias("end"), F.first("rest").alias("rest"))
-    ends = materialize(ends.select("key", "rest", "end.block", "end.before"), "ends")
-    few = totals.count() <= BROADCAST_SOURCES
-    small = F.broadcast if few else (lambda x: x)
-    inside = keyed.join(small(ends), ["key", "block"]).groupBy("key", "block", "place").agg(F.sum("n_tokens").alias("t"), F.first("rest").alias("rest"), F.first("before").alias("before"))
-    inside = inside.withColumn("upto", F.col("before") + F.sum("t").over(Window.partitionBy("key", "block").orderBy("place")))
-    cut = inside.where("upto <= rest").groupBy("key").agg(F.max("place").alias("cut"))
-    plan = plan.join(ends.select("key", "block"), "key", "left").join(cut, "key", "left")
-    # Places up to `cut` get one copy more; with none in the last block, those of the blocks before it.
-    plan = plan.withColumn("cut", F.when(F.col("tokens") == 0, None).otherwise(F.coalesce("cut", "block")))
-    return keyed, materialize(plan.select("key", "tokens", "target", "whole", "cut", "exponent"), "plan")
-
-
-def counted(place: str = "place") -> Column:
-    return F.col("whole") + F.when(F.col(place) <= F.col("cut"), 1).otherwise(0)
+    aims = raw.withColumn("target", F.round(F.coalesce(total * F.col("w") / F.col("z"), F.lit(0.0))).cast("bigint"))
+    aims = aims.withColumn("whole", F.when(F.col("tokens") > 0, F.expr("target div tokens")).otherwise(F.lit(1).cast("bigint")))
+    reads = F.when(F.col("tokens") > 0, F.col("target") / F.col("tokens")).otherwise(1.0)
+    aims = materialize(aims.select("key", "tokens", "target", "whole", (F.col("target") - F.col("whole") * F.col("tokens")).alias("rest"), reads.alias("reads")), "aims", paths)
+    # The part in which a source's last, partial pass ends, and the last place in it that still fits.
+    placed = keyed.join(few(aims.where("tokens > 0")), "key").withColumn("place", place_of(F.col("doc_id"), F.col("whole") + 1))
+    placed = placed.select("key", "n_tokens", "rest", "place", F.substring("place", 1, DIGITS).alias("part"))
+    parts = materialize(placed.groupBy("key", "part").agg(F.sum("n_tokens").alias("in_part"), F.first("rest").alias("rest")), "parts", paths)
+    upto = parts.withColumn("upto", F.sum("in_part").over(Window.partitionBy("key").orderBy("part")))
+    ends = upto.where("upto > rest").groupBy("key").agg(F.min_by(F.struct("part", (F.col("upto") - F.col("in_part")).alias("before")), "part").alias("end"))
+    ends = materialize(ends.select("key", "end.part", "end.before"), "ends", paths)
+    inside = placed.join(few(ends), ["key", "part"]).groupBy("key", "part", "place").agg(F.sum("n_tokens").alias("t"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+    inside = inside.withColumn("upto", F.col("before") + F.sum("t").over(Window.partitionBy("key", "part").orderBy("place")))
+    cuts = inside.where("upto <= rest").groupBy("key").agg(F.max("place").alias("cut"))
+    plan = aims.join(ends.select("key", "part"), "key", "left").join(cuts, "key", "left")
+    # Places up to `cut` are read once more; with none in the last part, those of the parts before it.
+    plan = plan.select("key", "tokens", "target", "whole", "reads", F.coalesce("cut", "part").alias("cut"), F.lit(alpha).alias("exponent"))
+    return keyed, materialize(plan, "plan")  # a row a source
+
+
+def few(per_source: DataFrame) -> DataFrame:
+    """Beside documents: broadcast, if its rows are few."""
+    return F.broadcast(per_source) if per_source.count() <= BROADCAST_SOURCES else per_source
+
+
+def read(rows: DataFrame, doc_id: str, whole: str = "whole", reads: str = "reads", cut: str = "cut", names: tuple[str, ...] = ("copies", "pass", "block", "place")) -> DataFrame:
+    """`rows` once for each time that they are read, with how often that is, the pass, its block of the run and its place in it."""
+    copies, turn, block, place = names
+    once_more = place_of(F.col(doc_id), F.col(whole) + 1) <= F.col(cut)
+    rows = rows.withColumn(copies, F.col(whole) + F.when(once_more, 1).otherwise(0)).where(F.col(copies) > 0)
+    rows = rows.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies))))
+    rows = rows.withColumn(place, place_of(F.col(doc_id), F.col(turn)))
+    return rows.withColumn(block, block_of(F.col(place), F.col(turn), F.col(reads)))
 
 
 def mixed(docs: DataFrame, budget_tokens: int | None = None, max_repeats: float | None = MAX_REPEATS, entropy: float | None = None) -> DataFrame:
-    """doc_id, source, n_tokens, copies, exponent: how often each row of `docs` (doc_id, text, source) is read.
-
-    Tokens are runs of characters outside ASCII white space. Without a budget, it is the least at which every source is
-    read whole, so no document is left out. Rows of one doc_id and source share a place, and are read alike. A null
-    source is a source of its own. Documents without tokens follow their source; a source without any token is read
-    once. An empty table gives an empty result.
+    """doc_id, source, n_tokens, copies, pass, block, place, exponent: a row for each time that a row of `docs` is read.
+
+    Read in the order of block and place, this is the mixture. copies says how often the row is read, pass (from 1) which
+    time this is. Tokens are runs of characters outside ASCII white space. Without a budget, it is the least at which
+    every source is read whole, so no document is left out; with one, what does not fit has no row. Rows of one doc_id
+    and source share a place, and are read alike. A null source is a source of its own. Null and empty texts have no
+    tokens and follow their source; a source without any token is read once. An empty table gives an empty result. Only
+    doc_id, text and source are read.
     """
-    keyed, plan = copies(docs, budget_tokens, max_repeats, entropy)
-    small = F.broadcast if plan.count() <= BROADCAST_SOURCES else (lambda x: x)
-    return keyed.join(small(plan), "key").select("doc_id", "source", "n_tokens", counted().cast("bigint").alias("copies"), F.round("exponent", 6).alias("exponent"))
+    paths: list[str] = []
+    try:
+        keyed, plan = planned(docs, budget_tokens, max_repeats, entropy, paths)
+        rows = read(keyed.join(few(plan), "key"), "doc_id")
+        return materialize(rows.select("doc_id", "source", "n_tokens", "copies", "pass", "block", "place", F.round("exponent", 6).alias("exponent")), "mixed")
+    finally:
+        discard(docs.sparkSession, paths)
 
 
 def mix(docs: DataFrame, budget_tokens: int | None = None, max_repeats: float | None = MAX_REPEATS, entropy: float | None = None) -> DataFrame:
-    """The rows of `docs`, all columns, each as often as `mixed` says; texts are not shuffled."""
-    _, plan = copies(docs, budget_tokens, max_repeats, entropy)
-    small = F.broadcast if plan.count() <= BROADCAST_SOURCES else (lambda x: x)
-    plan = plan.select(F.col("key").alias("__key"), "whole", "cut").withColumnsRenamed({"whole": "__whole", "cut": "__cut"})
-    rows = docs.join(small(plan), source_key(docs["source"]) == F.col("__key"))
-    n = F.col("__whole") + F.when(shuffled(docs["doc_id"]) <= F.col("__cut"), 1).otherwise(0)
-    return rows.where(n > 0).withColumn("__n", F.explode(F.sequence(F.lit(1), n.cast("int")))).select(*(docs[c] for c in docs.columns))
+    """The rows of `docs`, all columns, each as often and in the order that `mixed` says; see there for odd rows.
+
+    Each partition holds a stretch of blocks, sorted, and partitions follow each other; copies of a document stand as far
+    apart as their places. This shuffles the texts once, as the order is new. Names of other columns do not matter.
+    """
+    paths: list[str] = []
+    spark = docs.sparkSession
+    names = [f"__{i}_{uuid.uuid4().hex[:8]}" for i in range(8)]
+    key, whole, reads, cut, copies, turn, block, place = names
+    try:
+        _, plan = planned(docs, budget_tokens, max_repeats, entropy, paths)
+    finally:
+        discard(spark, paths)
+    tokens = plan.agg(F.sum(F.greatest("tokens", "target"))).first()[0] or 0
+    most = min(BLOCKS, max(spark.sparkContext.defaultParallelism, -(-tokens // TOKENS_A_PARTITION)))
+    known = plan.select(F.col("key").alias(key), F.col("whole").alias(whole), F.col("reads").alias(reads), F.col("cut").alias(cut))
+    identity = f"__id_{uuid.uuid4().hex[:8]}"
+    rows = docs.join(few(known), source_key(docs["source"]) == known[key]).withColumn(identity, docs["doc_id"])
+    rows = read(rows, identity, whole, reads, cut, (copies, turn, block, place))
+    rows = rows.repartitionById(most, (F.col(block) * most / F.lit(float(BLOCKS))).cast("int")).sortWithinPartitions(block, place)
+    return rows.select(*(docs[c] for c in docs.columns))
 
 
 def oracle() -> str:
     """The same in DuckDB SQL, for the default limits."""
-    rounds = [f"p AS (SELECT tokens / (SELECT sum(tokens) FROM totals) AS p FROM totals WHERE tokens > 0), r0 AS (SELECT 0.0::DOUBLE AS low, 1.0::DOUBLE AS high)"]
+    rounds = ["p AS (SELECT tokens / (SELECT sum(tokens) FROM totals) AS p FROM totals WHERE tokens > 0), r0 AS (SELECT 0.0::DOUBLE AS low, 1.0::DOUBLE AS high)"]
     for i in range(ROUNDS):
         rounds.append(
             f"m{i} AS (SELECT a FROM (SELECT k, a, pow(p, a) AS w, p FROM (SELECT k, low + (high - low) * k / {PROBES} AS a FROM r{i}, range(1, {PROBES + 1}) AS t(k)), p) "
@@ -137,13 +180,17 @@ def oracle() -> str:
             f"r{i + 1} AS (SELECT greatest(low, coalesce((SELECT min(a) FROM m{i}), high) - (high - low) / {PROBES}) AS low, coalesce((SELECT min(a) FROM m{i}), high) AS high FROM r{i})"
         )
     return (
-        r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS n_tokens, coalesce('=' || source, '') AS key, md5(coalesce(doc_id::VARCHAR, '')) AS place FROM documents),
+        r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS n_tokens, coalesce('=' || source, '') AS key, coalesce(doc_id::VARCHAR, '') AS id FROM documents),
 totals AS (SELECT key, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY key), """
         + ", ".join(rounds)
         + f""",
 x AS (SELECT high AS alpha FROM r{ROUNDS}),
 w AS (SELECT key, tokens, CASE WHEN tokens > 0 THEN pow(tokens / (SELECT sum(tokens) FROM totals), alpha) ELSE 0 END AS w FROM totals, x),
 t AS (SELECT key, tokens::BIGINT AS tokens, coalesce(round((SELECT max(tokens / w) FROM w WHERE w > 0) * w), 0)::BIGINT AS target FROM w),
-c AS (SELECT d.*, tokens, target, CASE WHEN tokens > 0 THEN target // tokens ELSE 1 END AS whole, sum(n_tokens) OVER (PARTITION BY key ORDER BY place) AS upto FROM d JOIN t USING (key))
-SELECT doc_id, source, n_tokens::BIGINT AS n_tokens, (whole + CASE WHEN tokens > 0 AND upto <= target - whole * tokens THEN 1 ELSE 0 END)::BIGINT AS copies, round(alpha, 6) AS exponent FROM c, x"""
+n AS (SELECT *, CASE WHEN tokens > 0 THEN target // tokens ELSE 1 END AS whole, CASE WHEN tokens > 0 THEN target / tokens ELSE 1.0 END AS reads FROM t),
+c AS (SELECT d.*, whole, reads, whole + CASE WHEN tokens > 0 AND sum(n_tokens) OVER (PARTITION BY key ORDER BY md5((whole + 1) || ':' || id)) <= target - whole * tokens THEN 1 ELSE 0 END AS copies FROM d JOIN n USING (key)),
+e AS (SELECT *, unnest(range(1, copies + 1)) AS pass FROM c),
+f AS (SELECT *, md5(pass || ':' || id) AS place FROM e)
+SELECT doc_id, source, n_tokens::BIGINT AS n_tokens, copies::BIGINT AS copies, pass::BIGINT AS pass,
+  least({BLOCKS - 1}, floor((pass - 1 + ('0x' || substr(place, 1, 13))::BIGINT / {float(16**13)}) / reads * {float(BLOCKS)}))::BIGINT AS block, place, round(alpha, 6) AS exponent FROM f, x"""
     )

@@ -407,15 +407,22 @@ def test_pruning_misses_no_more_than_stated(hashes):
 # op7
 
 
-def test_mixing_meets_its_limits(spark):
-    docs = documents(spark, [(i, words(i, 20), ) for i in range(400)]).withColumn("source", F.expr("CASE WHEN doc_id % 10 = 0 THEN 'small' WHEN doc_id = 7 THEN NULL ELSE 'large' END")).where("doc_id <> 17")
+def uneven(spark):
+    docs = documents(spark, [(i, words(i, 20)) for i in range(400)])
+    return docs.withColumn("source", F.expr("CASE WHEN doc_id % 10 = 0 THEN 'small' WHEN doc_id = 7 THEN NULL ELSE 'large' END")).where("doc_id <> 17")
+
+
+@pytest.mark.parametrize("broadcast", [mixing.BROADCAST_SOURCES, 0])
+def test_mixing_meets_its_limits(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
+    docs = uneven(spark)
+    own = {r.source: r.n for r in docs.groupBy("source").agg(F.sum(mixing.token_count(F.col("text"))).alias("n")).collect()}
     got = mixing.mixed(docs, max_repeats=3.0)
-    by = {r.source: (r.t, r.n) for r in got.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("t"), F.sum("n_tokens").alias("n")).collect()}
-    reads = {s: t / n for s, (t, n) in by.items()}
+    reads = {r.source: r.t / own[r.source] for r in got.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
     assert reads["large"] == 1 and max(reads.values()) <= 3.0 and reads[None] >= 2
-    assert got.where("copies < 1").count() == 0
-    half = sum(n for _, n in by.values()) // 2
-    some = mixing.mixed(docs, budget_tokens=half, max_repeats=3.0).agg(F.sum(F.col("copies") * F.col("n_tokens"))).first()[0]
+    assert got.select("doc_id").distinct().count() == 399
+    half = sum(own.values()) // 2
+    some = mixing.mixed(docs, budget_tokens=half, max_repeats=3.0).agg(F.sum("n_tokens")).first()[0]
     assert 0.9 * half <= some <= half
     totals = docs.groupBy(mixing.source_key(F.col("source")).alias("key")).agg(F.sum(mixing.token_count(F.col("text"))).alias("tokens"))
     a = mixing.exponent(totals, None, 0.7)
@@ -424,12 +431,31 @@ def test_mixing_meets_its_limits(spark):
     assert -(w * np.log(w)).sum() == pytest.approx(0.7, abs=1e-6)
 
 
+def test_mixing_is_a_permutation_by_blocks(spark):
+    docs = uneven(spark)
+    got = [r.asDict() for r in mixing.mixed(docs, max_repeats=3.0).collect()]
+    own = {s: sum(r["n_tokens"] for r in got if r["source"] == s and r["pass"] == 1) for s in ("small", "large", None)}
+    target = {s: sum(r["n_tokens"] for r in got if r["source"] == s) for s in own}
+    for r in got:
+        assert r["place"] == hashlib.md5(f"{r['pass']}:{r['doc_id']}".encode()).hexdigest() and 1 <= r["pass"] <= r["copies"]
+        share = int(r["place"], 16) / 16**32
+        assert r["block"] / mixing.BLOCKS == pytest.approx(min(1, (r["pass"] - 1 + share) * own[r["source"]] / target[r["source"]]), abs=0.02)
+    run = sorted(got, key=lambda r: (r["block"], r["place"]))
+    for i in range(0, len(run) - 100, 50):  # any stretch has the sources at their weights
+        assert sum(r["source"] == "small" for r in run[i : i + 100]) / 100 == pytest.approx(target["small"] / sum(target.values()), abs=0.12)
+    at = {}
+    for i, r in enumerate(run):
+        at.setdefault(r["doc_id"], []).append(i)
+    assert np.mean([b - a for x in at.values() for a, b in zip(x, x[1:])]) > len(run) / 5  # copies stand apart
+    assert [r.doc_id for r in mixing.mix(docs, max_repeats=3.0).select("doc_id").collect()] == [r["doc_id"] for r in run]
+
+
 def test_mixing_odd_rows(spark):
-    docs = documents(spark, ODD, WIDE)
+    docs = with_broken(documents(spark, ODD, WIDE)).withColumnsRenamed({"band": "__key", "score": "pass", "kept": "block"})
     out = mixing.mix(docs)
-    counts = {str(r.doc_id): r.n for r in mixing.mixed(docs).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect()}
+    counts = {str(r.doc_id): r.n for r in mixing.mixed(docs).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert out.columns == docs.columns and {str(r.doc_id): r["count"] for r in out.groupBy("doc_id").count().collect()} == counts
-    assert mixing.mix(docs.limit(0)).count() == 0
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed(docs.limit(0)).count() == 0
     assert {r.copies for r in mixing.mixed(documents(spark, [(1, None), (2, "")])).collect()} == {1}
 
 
