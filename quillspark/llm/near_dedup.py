@@ -284,7 +284,7 @@ def _components_of(docs: DataFrame, shingle: int, percent: int, miss: float, put
     first_ids = put(classes.join(compared, "set_key", "left_semi").select("first_id"), "compared").hint("merge")
     source = docs.join(first_ids, docs.doc_id.eqNullSafe(first_ids.first_id), "left_semi")
     sets = put(source.mapInArrow(set_maker(shingle), "set_key binary, shingles binary"), "sets")
-    if sets.count() > sets.select("set_key").distinct().count():  # rows that repeat an id: each set once
+    if not sets.groupBy("set_key").count().where("count > 1").isEmpty():  # rows that repeat an id: each set once
         sets = put(sets.dropDuplicates(["set_key"]), "sets")
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
@@ -295,20 +295,26 @@ def _components_of(docs: DataFrame, shingle: int, percent: int, miss: float, put
         links = attach(survivors, sets, "shingles").mapInArrow(verifier(percent), "a binary, b binary")
         return put(links.distinct(), f"links-{tag}")
 
-    def labelled(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
-        named = labels.select(F.col("node").alias(node), F.col("label").alias(name))
-        return rows.join(named, node, "left").withColumn(name, F.coalesce(name, node))
+    merged: list[DataFrame] = []  # each pass's components, over the labels of those before
+
+    def labelled(rows: DataFrame, node: str, name: str) -> DataFrame:
+        rows = rows.withColumn(name, F.col(node))
+        for labels in merged:
+            rows = rows.join(labels.select(F.col("node").alias(name), F.col("label").alias("__to")), name, "left").withColumn(name, F.coalesce("__to", name)).drop("__to")
+        return rows
+
+    def merge(links: DataFrame) -> None:
+        ends = labelled(labelled(links, "a", "la"), "b", "lb").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        merged.append(components(ends, put))
 
     nearest = shared.where("set_key <> pivot").groupBy("set_key").agg(F.max("best").alias("best"))
-    links = verified(nearest.selectExpr("best.set_key AS a", "set_key AS b"), "1")
-    labels = components(links, put)
+    merge(verified(nearest.selectExpr("best.set_key AS a", "set_key AS b"), "1"))
 
     stars = shared.where("set_key <> pivot").select(F.col("pivot").alias("a"), F.col("set_key").alias("b")).distinct()
-    stars = labelled(labelled(stars, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
-    links = links.union(verified(stars, "2"))
-    labels = components(links, put)
+    stars = labelled(labelled(stars, "a", "la"), "b", "lb").where("la <> lb").select("a", "b")
+    merge(verified(stars, "2"))
 
-    placed = put(labelled(shared.select("set_key", "band"), labels, "set_key", "label"), "placed")
+    placed = put(labelled(shared.select("set_key", "band"), "set_key", "label").select("set_key", "band", "label"), "placed")
     sizes = placed.groupBy("band", "label").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("band").agg(F.count("*").alias("k"), F.sum("n").alias("ny"), F.max(F.struct("n", "label")).alias("top")).where("k > 1")
     mixed = apart(mixed.selectExpr("band", "ny - top.n AS nx", "ny", "top.label AS largest"))
@@ -327,11 +333,9 @@ def _components_of(docs: DataFrame, shingle: int, percent: int, miss: float, put
     x = deal(many.where("label <> largest"), "i", "j", "wx", "wy").select(*columns()).groupBy("band", "i", "j")
     y = deal(many, "j", "i", "wy", "wx").select(*columns()).groupBy("band", "i", "j")
     blocks = x.cogroup(y).applyInArrow(blockwise(percent / 100, miss), "a binary, b binary")
-    links = links.union(exact(blocks, "4"))
-    links = links.union(verified(rest, "3"))
-    labels = components(links, put)
+    merge(exact(blocks, "4").union(verified(rest, "3")))
 
-    keyed = labelled(classes.select("set_key", "first_id"), labels, "set_key", "label")
+    keyed = labelled(classes.select("set_key", "first_id"), "set_key", "label")
     least = put(keyed.groupBy("label").agg(F.min("first_id").alias("component_id")), "least")  # so that a hot label's join can be split
     of = keyed.join(least, "label").select("set_key", "component_id")
     linked = signed.where("n_shingles > 0").select("doc_id", "n_shingles", "set_key").join(of, "set_key").select("doc_id", "n_shingles", "component_id")
@@ -354,7 +358,8 @@ def oracle(size: int = 2, percent: int = 80) -> str:
     """The same in DuckDB SQL: every pair with a common shingle, then the components. Small tables only."""
     return rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	
-]+') AS w FROM documents),
+
+]+') AS w FROM documents),
 s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(greatest(len(w) - {size} + 1, 1)), lambda i: array_to_string(list_slice(w, i + 1, i + {size}), ' '))) END AS s FROM w),
 u AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
 links AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= {percent} * (any_value(a.n) + any_value(b.n) - count(*))),
