@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -60,11 +61,17 @@ def materialize(df: DataFrame, tag: str, paths: list[str] | None = None) -> Data
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes scratch tables that nothing will read again."""
+    """Deletes scratch tables that nothing will read again, and has the driver notice that their plans are gone.
+
+    Executors keep the broadcasts and shuffles of finished plans until the driver's JVM collects its references to them,
+    which by itself it does every half hour at the latest; an operator of many small plans would fill them meanwhile.
+    """
     for path in paths:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
     paths.clear()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
