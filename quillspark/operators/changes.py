@@ -40,12 +40,18 @@ def page_watermark(feed: DataFrame) -> DataFrame:
     return feed.agg(F.max("change_seq").alias("cursor"))
 
 
+def oldest_first(outbox: DataFrame) -> DataFrame:
+    """Queued edits in the order in which they were made."""
+    return outbox.orderBy("created_at", "id")
+
+
 def rebase_outbox(outbox: DataFrame, winners: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(what stays, the newest discarded stamp by record): queued edits at or under the winner's stamp go; those without a stamp stay."""
+    """(what stays, the newest discarded stamp by record): queued edits at or under the winner's stamp go; those without a stamp stay. If both have a table_name, it counts too."""
     stamp = F.get_json_object("payload", "$.updated_at").try_cast("bigint")
-    won = winners.select(F.col(key).cast("string").alias("record_id"), F.coalesce("updated_at", F.lit(0)).alias("__won"))
+    by = ["record_id"] + (["table_name"] if {"table_name"} <= set(winners.columns) & set(outbox.columns) else [])
+    won = winners.select(F.col(key).cast("string").alias("record_id"), *by[1:], F.coalesce("updated_at", F.lit(0)).alias("__won"))
     queued = outbox.withColumn("__at", stamp)
-    joined = queued.join(won, "record_id", "left").withColumn("__gone", F.coalesce(F.col("__at") <= F.col("__won"), F.lit(False)))
+    joined = queued.join(won, by, "left").withColumn("__gone", F.coalesce(F.col("__at") <= F.col("__won"), F.lit(False)))
     return joined.where("NOT __gone").select(*outbox.columns), joined.where("__gone").groupBy("record_id").agg(F.max("__at").alias("discarded_at"))
 
 
@@ -82,6 +88,12 @@ def redirect_targets(edges: DataFrame, hops: int = HOPS) -> DataFrame:
     return at
 
 
+def redirects(books: DataFrame, local: DataFrame | None = None) -> DataFrame:
+    """id, next: where a book leads; its own merged_into counts before the local redirects (id, next), with which absent books lead on too."""
+    own = books.where("coalesce(merged_into, '') <> ''").select("id", F.col("merged_into").alias("next"))
+    return own if local is None else own.union(local.join(own.select("id"), "id", "left_anti").select("id", "next"))
+
+
 def held_back(tables: dict[str, DataFrame], failed: dict[str, DataFrame], order: list) -> dict[str, DataFrame]:
     """The ids that wait by table: those of which some parent failed or waits; tables come parents first."""
     bad: dict[str, DataFrame] = {}

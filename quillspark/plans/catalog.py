@@ -11,6 +11,7 @@ from quillspark.functions import scores, sealing, text
 from quillspark.operators import changes, reads, reconcile, search, snapshot, vectors
 from quillspark.plans import roles
 from quillspark.plans.roles import BOOKS, FEED, LINKS, LOCAL, MEMBERSHIPS, NOTES, NOW_MS, TEXTS, load
+from quillspark.sources.server import page_after
 from quillspark.streaming import signals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,7 +66,7 @@ def rows_by_ids(spark, sf_dir):
 
 @query(f"WITH {FEED} SELECT id, change_seq, updated_at FROM feed WHERE change_seq > 500 ORDER BY change_seq LIMIT 1000")
 def change_page(spark, sf_dir):
-    return roles.feed(spark, sf_dir).where("change_seq > 500").orderBy("change_seq").limit(1000).select("id", "change_seq", "updated_at")
+    return page_after(roles.feed(spark, sf_dir), 500, 1000).select("id", "change_seq", "updated_at")
 
 
 @query(f"WITH {NOTES} SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) AS rank FROM (SELECT * FROM notes WHERE NOT deleted AND list_contains(tags, 'URGENT') ORDER BY created_at DESC, id DESC LIMIT 100 OFFSET 5)")
@@ -318,9 +319,9 @@ def still_linked(spark, sf_dir):
 @query("SELECT l.o_orderkey AS id, array_to_string(list(c.l_linestatus || c.l_linenumber ORDER BY c.l_shipdate, c.l_linenumber, c.l_partkey, c.l_linestatus), '|') AS annotations FROM orders l JOIN lineitem c ON c.l_orderkey = l.o_orderkey WHERE l.o_orderstatus <> 'F' GROUP BY l.o_orderkey")
 def annotations(spark, sf_dir):
     o = load(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("id"))
-    c = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_linestatus").alias("c"))
-    rows = o.join(c, "id").groupBy("id").agg(F.sort_array(F.collect_list("c")).alias("cs"))
-    return rows.select("id", F.array_join(F.transform("cs", lambda x: F.concat(x["l_linestatus"], x["l_linenumber"].cast("string"))), "|").alias("annotations"))
+    c = load(spark, sf_dir, "lineitem").withColumn("said", F.concat("l_linestatus", F.col("l_linenumber").cast("string"))).withColumnRenamed("l_orderkey", "id")
+    rows = snapshot.ordered_texts(o.join(c, "id"), "id", "said", "l_shipdate", "l_linenumber", "l_partkey", "l_linestatus")
+    return rows.select("id", F.array_join("texts", "|").alias("annotations"))
 
 
 # Search and vectors
@@ -459,7 +460,7 @@ def content_fingerprint(spark, sf_dir):
 
 @query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') AS at FROM orders")
 def iso_stamps(spark, sf_dir):
-    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.date_format(F.col("o_orderdate").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("at"))
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text.iso_millis(roles.millis("o_orderdate")).alias("at"))
 
 
 @query("SELECT doc_id AS id, text FROM documents")

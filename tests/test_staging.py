@@ -35,7 +35,7 @@ def test_flush_plan(spark):
             (1, "notes", "n1", '{"id":"n1","book_id":"b1","created_at":1}', 1),
             (2, "notes", "n1", '{"text":"t"}', 2),
             (3, "notes", "n2", '{"text":"only"}', 1),
-            (4, "books", "b1", '{"id":"b1","created_at":1}', 1),
+            (4, "books", "b1", '{"id":"b1","title":"T","created_at":1}', 1),
             (5, "books", "b2", "no json", 1),
             (6, "note_links", "l", '{"id":"l","created_at":1,"from_note_id":"n1","to_note_id":"n2"}', 1),
         ],
