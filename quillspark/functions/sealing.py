@@ -8,6 +8,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import hmac
+import os
+from dataclasses import dataclass
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -74,11 +76,28 @@ def open_bytes(sealed: Column, key: bytes, aad: Column) -> Column:
     return F.when(F.substring(sealed, 1, 1) == F.lit(b"\x02"), F.try_aes_decrypt(body, F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), aad.cast("binary")))
 
 
+@dataclass(frozen=True)
+class Blob:
+    """A wrapped key in base64, with the salt and iv that opening it takes."""
+
+    wrapped_key: str
+    iv: str
+    salt: str
+
+
 class Vault:
-    """A master key, wrapped under other keys; sealing itself runs on one row in Spark."""
+    """A master key, wrapped under other keys; sealing itself runs on one row in Spark.
+
+    Keys are wrapped under one derived from a device's secret (`info` keeps this use of the secret apart from others) or,
+    for a move to another device, from a PIN. Salts and ivs are drawn anew each time.
+    """
 
-    def __init__(self, spark: SparkSession, master: bytes):
-        self.spark, self.master = spark, master
+    def __init__(self, spark: SparkSession, master: bytes, info: bytes = b""):
+        self.spark, self.master, self.info = spark, master, info
+
+    @classmethod
+    def generate(cls, spark: SparkSession, info: bytes = b"") -> Vault:
+        return cls(spark, os.urandom(32), info)
 
     def _one(self, column: Column):
         return self.spark.range(1).select(column.alias("x")).first()["x"]
@@ -87,15 +106,49 @@ class Vault:
         whole = bytes(self._one(F.aes_encrypt(F.lit(self.master), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(iv))))
         return f"{base64.b64encode(whole[:12]).decode()}.{base64.b64encode(whole[12:]).decode()}"
 
-    def wrap_with_pin(self, pin: str, salt: bytes, iv: bytes) -> str:
-        return self.wrap(pin_key(pin, salt), iv)
+    def _blob(self, key: bytes, salt: bytes, iv: bytes) -> Blob:
+        return Blob(self.wrap(key, iv).split(".")[1], base64.b64encode(iv).decode(), base64.b64encode(salt).decode())
+
+    def wrap_with_secret(self, secret: bytes, salt: bytes | None = None, iv: bytes | None = None) -> Blob:
+        """Under a device's secret; for another device the same again."""
+        salt = salt or os.urandom(32)
+        return self._blob(hkdf(secret, self.info, 32, salt), salt, iv or os.urandom(12))
+
+    def wrap_with_pin(self, pin: str, salt: bytes | None = None, iv: bytes | None = None) -> Blob:
+        salt = salt or os.urandom(32)
+        return self._blob(pin_key(pin, salt), salt, iv or os.urandom(12))
+
+    @classmethod
+    def _opened(cls, spark: SparkSession, blob: str, key: bytes) -> bytes | None:
+        try:
+            raw = b"".join(base64.b64decode(x, validate=True) for x in blob.split("."))
+        except ValueError:
+            return None
+        got = spark.range(1).select(F.try_aes_decrypt(F.lit(raw), F.lit(key), F.lit("GCM")).alias("x")).first()["x"]
+        return bytes(got) if got is not None and len(got) == 32 else None
 
     @classmethod
     def unlock(cls, spark: SparkSession, blobs: list[str], key: bytes) -> Vault | None:
         """From the first blob that the key opens."""
         for blob in blobs:
-            raw = b"".join(map(base64.b64decode, blob.split(".")))
-            got = spark.range(1).select(F.try_aes_decrypt(F.lit(raw), F.lit(key), F.lit("GCM")).alias("x")).first()["x"]
-            if got is not None:
-                return cls(spark, bytes(got))
+            if (master := cls._opened(spark, blob, key)) is not None:
+                return cls(spark, master)
+        return None
+
+    @classmethod
+    def unlock_with_secret(cls, spark: SparkSession, blobs: list[Blob], secret: bytes, info: bytes = b"") -> Vault | None:
+        """From whichever blob the secret opens; ones that can't be read are passed over."""
+        for blob in blobs:
+            try:
+                key = hkdf(secret, info, 32, base64.b64decode(blob.salt, validate=True))
+            except ValueError:
+                continue
+            if (master := cls._opened(spark, f"{blob.iv}.{blob.wrapped_key}", key)) is not None:
+                return cls(spark, master, info)
         return None
+
+    @classmethod
+    def redeem_pin_transfer(cls, spark: SparkSession, blob: Blob, pin: str, info: bytes = b"") -> Vault | None:
+        """On the new device, from what wrap_with_pin gave on the old one."""
+        master = cls._opened(spark, f"{blob.iv}.{blob.wrapped_key}", pin_key(pin, base64.b64decode(blob.salt)))
+        return None if master is None else cls(spark, master, info)

@@ -101,6 +101,8 @@ def counts(books: DataFrame, notes: DataFrame, ideas: DataFrame) -> DataFrame:
 def books_with_counts(books: DataFrame, notes: DataFrame, limit: int = -1, offset: int = 0) -> DataFrame:
     """The page first, then the count of live notes for its books."""
     shown = list_live(books, limit=limit, offset=offset)
+    if limit >= 0:  # the page's few ids first, so that only its books' notes are shuffled
+        notes = notes.join(F.broadcast(shown.select(F.col("id").alias("book_id"))), "book_id", "left_semi")
     n = live(notes).groupBy(F.col("book_id").alias("id")).agg(F.count("*").alias("note_count"))
     return shown.join(n, "id", "left").withColumn("note_count", F.coalesce("note_count", F.lit(0).cast("bigint")))
 

@@ -37,6 +37,7 @@ def duplicate_clusters(notes: DataFrame) -> DataFrame:
     """id, content_tag, survivor, n for live notes that share a content tag: most tags, then earliest, then least id survives."""
     rows = live(notes).where("content_tag <> ''").select("id", "content_tag", "created_at", F.coalesce(F.size("tags"), F.lit(0)).alias("k"))
     best = rows.groupBy("content_tag").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("k")).alias("k"), "created_at", "id")).alias("best")).where("n > 1")
+    best = best.hint("rebalance")  # an exchange of its own, so that a hot tag's join can be split
     return rows.join(best, "content_tag").select("id", "content_tag", F.col("best.id").alias("survivor"), "n")
 
 

@@ -16,6 +16,12 @@ def search_docs(notes: DataFrame, ideas: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+def stem_tally(texts: DataFrame, text: str = "text") -> DataFrame:
+    """stem, n: how often each stem occurs. Tokens are counted first, so that each distinct one is stemmed once."""
+    words = texts.select(F.explode(tokens(F.col(text))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return words.groupBy(stem(F.col("token")).alias("stem")).agg(F.sum("n").alias("n"))
+
+
 def query_terms(spark, query: str) -> list[str]:
     """Distinct stems of the query, in order."""
     found = spark.range(1).select(stems(F.lit(query)).alias("t")).first()["t"]

@@ -343,14 +343,14 @@ _PLURAL = "CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN w[:-4] || 'y' WHEN w L
 @query(rf"WITH t AS (SELECT lower(unnest(regexp_split_to_array(text, '[\n\r\p{{Z}}\p{{P}}]+'))) AS w FROM documents WHERE lang = 'en'), p AS (SELECT w, {_PLURAL} AS p FROM t WHERE w <> '') SELECT {_STEM} AS stem, count(*) AS n FROM p GROUP BY 1")
 def stem_tokens(spark, sf_dir):
     d = load(spark, sf_dir, "documents").where("lang = 'en'")
-    return d.select(F.explode(text.tokens(F.col("text"))).alias("t")).select(text.stem(F.col("t")).alias("stem")).groupBy("stem").agg(F.count("*").alias("n"))
+    return search.stem_tally(d)
 
 
 @query(rf"WITH d AS (SELECT text FROM documents UNION ALL SELECT p_name FROM part), t AS (SELECT lower(unnest(regexp_split_to_array(text, '[\n\r\p{{Z}}\p{{P}}]+'))) AS w FROM d), p AS (SELECT w, {_PLURAL} AS p FROM t WHERE w <> '') SELECT {_STEM} AS stem, count(*) AS n FROM p GROUP BY 1")
 def stem_tokens_all(spark, sf_dir):
     """stem_tokens over the whole archive: documents of every language, or none, and part titles."""
     d = load(spark, sf_dir, "documents").select("text").unionAll(load(spark, sf_dir, "part").select("p_name"))
-    return d.select(F.explode(text.tokens(F.col("text"))).alias("t")).select(text.stem(F.col("t")).alias("stem")).groupBy("stem").agg(F.count("*").alias("n"))
+    return search.stem_tally(d)
 
 
 _TERMS = {"red": 2, "ring": 4, "wid": 3}

@@ -7,8 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillspark.operators.reads import live
+
 HOUR_MS = 3_600_000
 
 
@@ -31,11 +34,14 @@ def throttled(events: DataFrame, key: str, gap_ms: int = HOUR_MS) -> DataFrame:
     return ordered.mapInArrow(run, ordered.schema)
 
 
-def recorder(events: DataFrame, gap_ms: int = HOUR_MS) -> DataFrame:
+def recorder(events: DataFrame, gap_ms: int = HOUR_MS, notes: DataFrame | None = None) -> DataFrame:
     """A stream of (note_id, kind, at) to the stream of each note's signals: note_id, return_visits, exposure_recency_at, engagement_recency_at.
 
-    Exposure is throttled by the stored stamp; a return visit also counts as an exposure; only changes come out.
+    Exposure is throttled by the stored stamp; a return visit also counts as an exposure; only changes come out. With
+    `notes` (a table, read anew in each batch) only notes that are there and live earn signals.
     """
+    if notes is not None:
+        events = events.join(live(notes).select(F.col("id").alias("note_id")), "note_id", "left_semi")
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         visits, exposed, engaged = state.get if state.exists else (0, 0, 0)

@@ -91,3 +91,15 @@ def test_vault(spark):
     blob = vault.wrap(key, bytes(12))
     assert sealing.Vault.unlock(spark, [vault.wrap(bytes(32), bytes(12)), blob], key).master == bytes(range(32))
     assert sealing.Vault.unlock(spark, [blob], bytes(32)) is None
+
+
+def test_vault_moves_between_devices(spark):
+    vault = sealing.Vault.generate(spark, b"wrap")
+    first, second = vault.wrap_with_secret(b"one"), vault.wrap_with_secret(b"two")
+    broken = sealing.Blob("!", "?", "*")
+    assert sealing.Vault.unlock_with_secret(spark, [broken, first, second], b"two", b"wrap").master == vault.master
+    assert sealing.Vault.unlock_with_secret(spark, [first], b"one", b"other") is None
+    moved = vault.wrap_with_pin("1234")
+    assert sealing.Vault.redeem_pin_transfer(spark, moved, "1234").master == vault.master
+    assert sealing.Vault.redeem_pin_transfer(spark, moved, "4321") is None
+    assert vault.wrap_with_secret(b"one") != first and len(vault.master) == 32

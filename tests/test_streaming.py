@@ -36,3 +36,13 @@ def test_recorder(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.table("signals").orderBy(F.col("note_id")).collect()
     assert [tuple(r) for r in got] == [("m", 0, 0, 7), ("n", 1, 30, 0)]
+
+
+def test_recorder_refuses_absent_and_deleted_notes(spark, tmp_path):
+    rows = [("live", "engagement", 5), ("dead", "engagement", 5), ("absent", "return_visit", 5)]
+    spark.createDataFrame(rows, "note_id string, kind string, at bigint").coalesce(1).write.parquet(str(tmp_path / "in"))
+    notes = spark.createDataFrame([("live", False), ("dead", True)], "id string, deleted boolean")
+    stream = spark.readStream.schema("note_id string, kind string, at bigint").parquet(str(tmp_path / "in"))
+    q = recorder(stream, notes=notes).writeStream.format("memory").queryName("refused").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [tuple(r) for r in spark.table("refused").collect()] == [("live", 0, 0, 5)]
