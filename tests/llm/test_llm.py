@@ -698,6 +698,24 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
 
 
+def test_pipeline_odd_rows(spark):
+    """Nulls, blanks, long and broken texts, repeated rows, clashing columns, and an empty table, through every stage."""
+    rows = with_broken(documents(spark, ODD, WIDE)).withColumnsRenamed({"band": "__digest", "score": "pass", "kept": "__kept_id"})
+    docs, empty = common.materialize(rows, "odd"), common.materialize(rows.limit(0), "none")
+    before = {r.doc_id for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        docs = common.materialize(out, name)
+        left = {r.doc_id for r in docs.collect()}
+        assert left == before - ({5, 7} if name == "near_dedup" else set()), name
+        before = left
+        nothing = stage(spark, empty, SF)
+        assert nothing.count() == 0 and nothing.columns == out.columns, name
+        assert name == "sharding" or out.columns == rows.columns
+        texts = {r.doc_id: r.text for r in docs.where("doc_id IN (1, 2, 8)").collect()}
+        assert (texts[1], texts[2], texts[8]) == (None, "", ODD[9][1])
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracles(spark, name):
     import duckdb
