@@ -60,6 +60,15 @@ class Store:
         read = self.spark.read.schema(struct) if name in TABLES or name == "outbox" else self.spark.read
         return read.parquet(*(f"{self.path}/{x}" for x in paths))
 
+    def exists(self, name: str) -> bool:
+        return name in self.state()["tables"]
+
+    def columns(self, name: str) -> dict[str, str]:
+        """The columns of a table's files as they are, and their types; older ones may lack columns that table() adds as nulls."""
+        at = self.state()["tables"].get(name)
+        paths = [at] if isinstance(at, str) else list((at or {}).values())
+        return dict(self.spark.read.option("mergeSchema", "true").parquet(*(f"{self.path}/{x}" for x in paths)).dtypes) if paths else {}
+
     def outbox(self) -> DataFrame:
         """The queued edits, oldest first."""
         return oldest_first(self.table("outbox"))

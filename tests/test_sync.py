@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import margins, reconcile, staging, vectors
 from quillspark.plans.writes import toy_embedder
-from quillspark.schema import TABLES
+from quillspark.schema import TABLES, missing_columns
 from quillspark.sources import store as stores
 from quillspark.sources.server import FrameCovers, StoreServer
 from quillspark.sources.store import Store, change_stream
@@ -54,6 +54,14 @@ def test_store_rewrites_touched_parts_only(spark, place):
     assert store.table("books").count() == 13 and len(store._pointers()) == 1
 
 
+def test_older_files_gain_columns(spark, place):
+    store = place[0]
+    frame(spark, "collections", {"id": "a", "name": "x"}).drop("name").write.parquet(f"{store.path}/collections/v=0-old")
+    store._point(0, store.state(), {"collections": {"0": "collections/v=0-old"}}, None)
+    assert "name" not in store.columns("collections") and store.exists("collections") and not store.exists("books") and store.columns("books") == {}
+    assert rows(store.table("collections"), "id", "name") == [("a", None)] and missing_columns(list(store.columns("collections")), TABLES["collections"]) == ["name"]
+
+
 def test_a_failed_pointer_move_is_an_error(spark, place, monkeypatch):
     store = place[0]
 
