@@ -689,11 +689,24 @@ def test_pipeline(spark):
         elif name == "near_dedup":
             bad = {i for i, _, c in brute_components([(r.doc_id, r.text) for r in docs.collect()], 5, 80) if i != c}
         elif name == "decontamination":
+            from test_decontaminate import brute
+
+            items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
+            texts = [(r.doc_id, r.text) for r in docs.collect()]
             bad = {r.doc_id for r in decontaminate.contaminated_pairs(docs, table(spark, SF, "benchmark")).collect()}
+            some = [x for x in texts if x[0] in bad or x[0] % 10 == 0]  # brute force takes long; the whole table has SQL
+            assert {k for k, *_ in brute(some, items)} == bad
         else:
             bad = set()
         assert ids == before - bad, name
         assert out.columns == docs.columns or name == "sharding"
+        if name == "source_mixing":  # as often as `mixed` says, which SQL confirms, and in its order
+            plan = mixing.mixed(docs).orderBy("block", "place").collect()
+            assert [r.doc_id for r in stage(spark, docs, SF).select("doc_id").collect()] == [r.doc_id for r in plan]
+        elif name == "sharding":
+            claims = shard.lookup(shard.names())
+            slots = {i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16) % shard.SLOTS for i in ids}
+            assert {(r.doc_id, r.slot, r.shard) for r in out.collect()} == {(i, s, f"shard-{claims[s]:05d}") for i, s in slots.items()} and out.count() == docs.count()
         docs = out
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
 
