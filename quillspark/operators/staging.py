@@ -82,6 +82,7 @@ def as_partials(rows: DataFrame, table: Table, columns: list[str] | None = None)
 def json_fields(fields: Column, table: Table) -> Column:
     """A partial row as a JSON object, in the types of its columns; keys that are no columns are strings."""
     quoted = lambda v: F.to_json(F.create_map(F.lit("x"), v), {"ignoreNullFields": "false"})
+
     def one(k: Column, v: Column) -> Column:
         raw = F.lit(False)
         for c, kind in table.columns.items():
@@ -154,7 +155,7 @@ def flush_groups(outbox: DataFrame) -> DataFrame:
     return merged.join(ids, "record").select("record.table_name", "record.record_id", "fields", "ids")
 
 
-def lacking(fields: Column = None, table_name: Column = None) -> Column:
+def lacking(fields: Column | None = None, table_name: Column | None = None) -> Column:
     """Whether a record's edits lack a column that an insert into its table needs, and so can only patch the row that is there."""
     fields, table_name = F.col("fields") if fields is None else fields, F.col("table_name") if table_name is None else table_name
     out = F.lit(False)

@@ -104,8 +104,6 @@ def snapshot_lines(spark, sf_dir):
 
 # Local writes
 
-_BOOKS = f"{BOOKS}, e AS (SELECT user_id AS id, event_id AS place, event_type AS field, event_id::VARCHAR AS value FROM events WHERE event_type IN ('view', 'error'))"
-
 
 def _books(spark, sf_dir) -> DataFrame:
     b = roles.books(spark, sf_dir)
