@@ -245,34 +245,32 @@ def migrated_tags(tags: Column, version: int, early: dict[str, str] = EARLY_RENA
     return remap_tags(tags, late) if version < late_until else tags
 
 
-def _read(v: Column, field: str, kind: str, now_ms: int) -> tuple[Column, Column]:
-    """(whether the value is right, the value) of a field of a variant row.
+def _read(found: Column, is_: Column, kind: str, now_ms: int) -> tuple[Column, Column]:
+    """(whether the value is right, the value) of a field: a variant and its schema, null if the field is absent.
 
     text: a string, or absent. text?: null too, and then the default. word: empty too. int: a whole number, or absent;
     int?: null too. count: null or absent is the default. stamp: so is zero, and the default is now. number: finite or
     null. bool: null is false. texts: strings only, null is none. object: null is empty.
     """
     kind, _, default = kind.partition(" ")
-    found = F.try_variant_get(v, f"$.{field}", "variant")
-    is_ = F.schema_of_variant(found)
     absent = is_.isNull()
     empty = absent | (is_ == "VOID")
+    as_ = lambda t: F.try_variant_get(found, "$", t)
     if kind in ("text", "text?", "word"):
-        said = F.when(is_ == "STRING", F.try_variant_get(v, f"$.{field}", "string"))
+        said = F.when(is_ == "STRING", as_("string"))
         if default:
             said = F.coalesce(F.when(said != "", said) if kind == "word" else said, F.lit(default))
         return (absent if kind == "text" else empty) | (is_ == "STRING"), said
     if kind in ("int", "int?", "count", "stamp"):
-        n = F.when(is_ == "BIGINT", F.try_variant_get(v, f"$.{field}", "bigint"))
+        n = F.when(is_ == "BIGINT", as_("bigint"))
         n = stamp_or(n, now_ms) if kind == "stamp" else F.coalesce(n, F.lit(int(default)).cast("bigint")) if kind == "count" else n
         return (absent if kind == "int" else empty) | (is_ == "BIGINT"), n
     if kind == "number":
-        x = F.try_variant_get(v, f"$.{field}", "double")
-        return empty | (is_.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (F.abs(x) < F.lit(float("inf")))), x
+        return empty | (is_.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (F.abs(as_("double")) < F.lit(float("inf")))), as_("double")
     if kind == "bool":
-        return empty | (is_ == "BOOLEAN"), F.coalesce(F.when(is_ == "BOOLEAN", F.try_variant_get(v, f"$.{field}", "boolean")), F.lit(False))
+        return empty | (is_ == "BOOLEAN"), F.coalesce(F.when(is_ == "BOOLEAN", as_("boolean")), F.lit(False))
     if kind == "texts":
-        items = F.try_variant_get(v, f"$.{field}", "array<variant>")
+        items = as_("array<variant>")
         strings = F.when(is_.startswith("ARRAY"), F.transform(items, lambda x: F.try_variant_get(x, "$", "string")))
         return empty | (is_.startswith("ARRAY") & F.forall(items, lambda x: F.schema_of_variant(x) == "STRING")), F.coalesce(strings, F.array().cast("array<string>"))
     return empty | is_.startswith("OBJECT"), F.when(is_.startswith("OBJECT"), F.to_json(found)).otherwise("{}")
@@ -283,15 +281,20 @@ def normalized(rows: DataFrame, table: str, version: int, now_ms: int, sources:
 
     `sources` (note_id, source) are the archive's own notes, from which signals without a prior have theirs.
     """
-    t, v = TABLES[table], F.col("row")
-    key_ok, key = _read(v, camel(t.key), "text", now_ms)
-    gone = F.schema_of_variant(F.try_variant_get(v, "$.deleted", "variant"))
-    alive = gone.isNull() | (gone == "VOID") | ((gone == "BOOLEAN") & ~F.try_variant_get(v, "$.deleted", "boolean")) | (gone.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (F.try_variant_get(v, "$.deleted", "double") == 0))
-    right = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    t = TABLES[table]
+    # Each field is taken out of its row once, and its schema once; what is used more than once is not computed again.
+    fields = [t.key, "deleted", *KINDS[table]]
+    rows = rows.select(F.schema_of_variant("row").startswith("OBJECT").alias("__object"), *(F.try_variant_get("row", f"$.{camel(c)}", "variant").alias(f"__{c}") for c in fields))
+    rows = rows.select("*", *(F.schema_of_variant(f"__{c}").alias(f"__is_{c}") for c in fields))
+    read = lambda c, kind: _read(F.col(f"__{c}"), F.col(f"__is_{c}"), kind, now_ms)
+    key_ok, key = read(t.key, "text")
+    gone, mark = F.col("__is_deleted"), F.col("__deleted")
+    alive = gone.isNull() | (gone == "VOID") | ((gone == "BOOLEAN") & ~F.try_variant_get(mark, "$", "boolean")) | (gone.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (F.try_variant_get(mark, "$", "double") == 0))
+    right = F.coalesce("__object", F.lit(False))
     problem = F.when(~right, "not an object").when(~F.coalesce(alive, F.lit(False)), "deleted").when(~F.coalesce(key_ok & (key != ""), F.lit(False)), camel(t.key))
     values = {}
     for column, kind in KINDS[table].items():
-        ok, values[column] = _read(v, camel(column), kind, now_ms)
+        ok, values[column] = read(column, kind)
         problem = problem.when(~F.coalesce(ok, F.lit(False)), camel(column))
     if table == "notes":
         values["tags"] = migrated_tags(values["tags"], version)
