@@ -373,6 +373,41 @@ def test_near_duplicates_repeated_rows_and_long_texts(spark):
     assert {r.doc_id for r in near_dedup.drop_near_duplicates(docs).collect()} == {1, 2, 4, -5}
 
 
+def test_a_hot_band_is_split(spark, monkeypatch):
+    """Many classes in one bucket: the joins by band read it in parts, as many as tasks wrote it."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10000",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "5000",
+        "spark.sql.shuffle.partitions": "61",
+        "spark.sql.files.maxPartitionBytes": "30000",
+        "spark.sql.files.openCostInBytes": "1000",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    kept = {k: spark.conf.get(k) for k in conf}
+    plans, put = {}, near_dedup.materialize
+
+    def watched(df, tag, paths=None):
+        out = put(df, tag, paths)
+        if tag in ("buckets", "pivots"):
+            df.collect()
+            plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", watched)
+    base = words(90, 400)  # most texts share nearly all their words, and so nearly all bands
+    texts = [f"{base} {words(1000 + i, 2)}" for i in range(1200)] + [words(5000 + i, 30) for i in range(200)]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = near_dedup.near_duplicates(documents(spark, list(enumerate(texts))).repartition(8), 2, 80).collect()
+        assert {r.component_id for r in got if r.doc_id < 1200} == {0} and sum(r.kept for r in got) == 201
+        assert all("skew=true" in p for p in plans.values()) and len(plans) == 2, {k: "skew=true" in p for k, p in plans.items()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_drop_near_duplicates_keeps_columns(spark):
     docs = documents(spark, ODD, WIDE)
     kept = near_dedup.drop_near_duplicates(docs)
