@@ -340,15 +340,14 @@ _STEM = """CASE WHEN length(w) <= 3 THEN w ELSE (CASE WHEN p LIKE '%ing' AND len
 _PLURAL = "CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN w[:-4] || 'y' WHEN w LIKE '%sses' THEN w[:-3] WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN w[:-2] ELSE w END"
 
 
-@query(rf"WITH t AS (SELECT lower(unnest(regexp_split_to_array(text, '[\n\r\p{{Z}}\p{{P}}]+'))) AS w FROM documents WHERE lang = 'en'), p AS (SELECT w, {_PLURAL} AS p FROM t WHERE w <> '') SELECT {_STEM} AS stem, count(*) AS n FROM p GROUP BY 1")
+@query(rf"WITH t AS (SELECT lower(unnest(regexp_split_to_array(text, '[\n\r\p{{Z}}\p{{P}}]+'))) AS w FROM documents), p AS (SELECT w, {_PLURAL} AS p FROM t WHERE w <> '') SELECT {_STEM} AS stem, count(*) AS n FROM p GROUP BY 1")
 def stem_tokens(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").where("lang = 'en'")
-    return search.stem_tally(d)
+    return search.stem_tally(load(spark, sf_dir, "documents"))
 
 
 @query(rf"WITH d AS (SELECT text FROM documents UNION ALL SELECT p_name FROM part), t AS (SELECT lower(unnest(regexp_split_to_array(text, '[\n\r\p{{Z}}\p{{P}}]+'))) AS w FROM d), p AS (SELECT w, {_PLURAL} AS p FROM t WHERE w <> '') SELECT {_STEM} AS stem, count(*) AS n FROM p GROUP BY 1")
 def stem_tokens_all(spark, sf_dir):
-    """stem_tokens over the whole archive: documents of every language, or none, and part titles."""
+    """stem_tokens over the whole archive: documents and part titles."""
     d = load(spark, sf_dir, "documents").select("text").unionAll(load(spark, sf_dir, "part").select("p_name"))
     return search.stem_tally(d)
 

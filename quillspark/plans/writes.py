@@ -171,13 +171,13 @@ def vectors_after_apply(spark, sf_dir):
 
 
 @query(
-    f"""WITH {BOOKS}, q AS (SELECT 'books' AS t, c_custkey::VARCHAR AS r, c_custkey % 3 = 0 AS whole, c_custkey % 50 = 0 AS fails FROM customer WHERE c_custkey % 2 = 0),
-n AS (SELECT 'notes' AS t, o_orderkey::VARCHAR AS r, o_orderkey % 3 = 0 AS whole, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 50 = 0 AND o_custkey % 2 = 0 ELSE false END AS held FROM orders WHERE o_orderkey % 5 = 0)
+    f"""WITH {BOOKS}, q AS (SELECT 'books' AS t, c_custkey::VARCHAR AS r, c_custkey % 3 = 0 AS whole, c_custkey % 50 = 0 AS fails FROM customer),
+n AS (SELECT 'notes' AS t, o_orderkey::VARCHAR AS r, o_orderkey % 3 = 0 AS whole, o_orderkey % 3 = 0 AND o_custkey % 50 = 0 AS held FROM orders)
 SELECT t AS table_name, r AS record_id, CASE WHEN fails THEN 'hold' WHEN whole THEN 'upsert' ELSE 'patch' END AS action FROM q UNION ALL SELECT t, r, CASE WHEN held THEN 'hold' WHEN whole THEN 'upsert' ELSE 'patch' END FROM n"""
 )
 def flush_actions(spark, sf_dir):
     """What a flush does with each record, some books having failed."""
-    c, o = load(spark, sf_dir, "customer").where("c_custkey % 2 = 0"), load(spark, sf_dir, "orders").where("o_orderkey % 5 = 0")
+    c, o = load(spark, sf_dir, "customer"), load(spark, sf_dir, "orders")
     book = F.when(F.col("c_custkey") % 3 == 0, F.to_json(F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"), F.lit(1).alias("created_at")))).otherwise('{"author":"x"}')
     note = F.when(F.col("o_orderkey") % 3 == 0, F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("book_id"), F.lit("x").alias("text"), F.lit(1).alias("created_at")))).otherwise('{"tags":["x"]}')
     row = lambda rows, key, table, payload: rows.select(F.col(key).alias("id"), F.lit(table).alias("table_name"), F.col(key).cast("string").alias("record_id"), payload.alias("payload"), F.lit(1).cast("bigint").alias("created_at"))
@@ -269,7 +269,7 @@ UNION ALL SELECT id::VARCHAR, true, lang || '|' || source FROM n WHERE id > 1"""
 )
 def merged_contents(spark, sf_dir):
     """Three notes that a person found alike, folded into the first."""
-    d = load(spark, sf_dir, "documents").where("doc_id IN (1, 2, 3)")
+    d = load(spark, sf_dir, "documents")
     notes = d.select(F.col("doc_id").cast("string").alias("id"), F.array("lang", "source").alias("tags"), F.lit(None).cast("string").alias("image_path"), F.lit("t").alias("content_tag"), F.col("doc_id").alias("created_at"), F.col("doc_id").alias("updated_at"), F.lit(False).alias("deleted"))
     links, members = (spark.createDataFrame([], TABLES[t].struct) for t in ("note_links", "collection_memberships"))
     out = reconcile.merge_content_duplicates(notes, links, members, "1", ["2", "3", "2", "1", ""], NOW_MS)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillspark.operators.reads import live
+from quillspark.schema import TABLES, conform
 
 HOUR_MS = 3_600_000
 
@@ -60,3 +61,54 @@ def recorder(events: DataFrame, gap_ms: int = HOUR_MS, notes: DataFrame | None =
 
     shape = "return_visits bigint, exposure_recency_at bigint, engagement_recency_at bigint"
     return events.groupBy("note_id").applyInPandasWithState(run, f"note_id string, {shape}", shape, "update", GroupStateTimeout.NoTimeout)
+
+
+def recorded(signals: DataFrame, notes: DataFrame, events: DataFrame, now_ms: int, gap_ms: int = HOUR_MS) -> DataFrame:
+    """Whole signal rows that a batch of (note_id, kind, at) changes.
+
+    A note's events count in order, from its stored row on: an exposure if the last one is gap_ms old, a return visit
+    always, also as an exposure, and an engagement always. Only live notes earn signals. A row that is absent or deleted
+    is born or returns, with its note's prior if it has none; a live one comes only if something changed, be it that its
+    stored importance is not what follows from it.
+    """
+    from quillspark.operators.margins import born_or_stored, scored
+
+    earning = live(notes).join(events.select(F.col("note_id").alias("id")).distinct(), "id", "left_semi").select("id", "source")
+    before = born_or_stored(signals, earning, now_ms)
+    rows = events.join(before.select("note_id", "return_visits", "exposure_recency_at", "engagement_recency_at"), "note_id")
+    ordered = rows.select("note_id", "kind", "at", "return_visits", "exposure_recency_at", "engagement_recency_at").repartition("note_id").sortWithinPartitions("note_id", "at", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, done = None, (0, 0, 0), []
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate([pa.string(), *[pa.int64()] * 3])], ["note_id", "visits", "exposed", "engaged"])
+            done.clear()
+            return out
+
+        for batch in batches:
+            for note, kind, at, *stored in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if note != now:
+                    if now is not None:
+                        done.append((now, *state))
+                    now, state = note, tuple(stored)
+                visits, exposed, engaged = state
+                if kind == "exposure" and (exposed <= 0 or at - exposed >= gap_ms):
+                    exposed = at
+                elif kind == "engagement":
+                    engaged = at
+                elif kind == "return_visit":
+                    visits, exposed = visits + 1, at
+                state = visits, exposed, engaged
+            yield flush()
+        if now is not None:
+            done.append((now, *state))
+            yield flush()
+
+    after = ordered.mapInArrow(run, "note_id string, visits bigint, exposed bigint, engaged bigint")
+    both = before.withColumnRenamed("importance", "__old").join(after, "note_id")
+    same = (F.col("return_visits") == F.col("visits")) & (F.col("exposure_recency_at") == F.col("exposed")) & (F.col("engagement_recency_at") == F.col("engaged"))
+    new = scored(both.withColumn("__same", same).withColumns({"return_visits": F.col("visits"), "exposure_recency_at": F.col("exposed"), "engagement_recency_at": F.col("engaged")}))
+    agree = F.col("__same") & F.coalesce(F.abs(F.col("__old") - F.col("importance")) <= 1e-9, F.lit(False))
+    moved = new.where(~F.col("was_live") | ~agree)
+    return conform(moved.withColumn("updated_at", F.lit(now_ms).cast("bigint")).withColumn("deleted", F.lit(False)), TABLES["note_signals"])
