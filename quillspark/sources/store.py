@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,16 @@ class Store:
     def _at(self, name: str):
         return self._hadoop.Path(f"{self.path}/{name}" if name else self.path)
 
+    @contextmanager
+    def scratch(self, rows: DataFrame, tag: str):
+        """The rows, written once to the store's own file system, which all machines see, and deleted at the end."""
+        at = f"scratch/{tag}-{uuid.uuid4().hex[:8]}"
+        rows.write.parquet(f"{self.path}/{at}")
+        try:
+            yield self.spark.read.schema(rows.schema).parquet(f"{self.path}/{at}")
+        finally:
+            self._fs.delete(self._at(at), True)
+
     def _pointers(self) -> list[str]:
         if not self._fs.exists(self._at("pointers")):
             return []
@@ -134,7 +145,7 @@ class Store:
         used = {"/".join(x.split("/")[:2]) for x in used}
         for status in self._fs.listStatus(self._at("")):
             name = status.getPath().getName()
-            if status.isDirectory() and name != "pointers":
+            if status.isDirectory() and name not in ("pointers", "scratch"):
                 for version in self._fs.listStatus(status.getPath()):
                     if f"{name}/{version.getPath().getName()}" not in used:
                         self._fs.delete(version.getPath(), True)

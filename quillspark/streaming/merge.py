@@ -22,16 +22,16 @@ def merge_page(store: Store, table: str, feed: DataFrame, batch: int, meta: dict
     have, struct = feed.columns, TABLES[table].struct
     feed = feed.select(*(F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in struct), "change_seq")
     local = store.table(table).join(feed.select(key).distinct(), key, "left_semi").select(key, "updated_at")
-    winners = lww_winners(feed, local, key)
-    replaced, lost = {}, None
-    if "outbox" in state["tables"]:
-        kept, lost = rebase_outbox(store.table("outbox"), winners.withColumn("table_name", F.lit(table)), key)
-        replaced["outbox"] = kept
-    pulled = feed.agg(F.max("change_seq").alias("cursor"), F.count("*").alias("n")).first()
-    merged = winners.agg(F.coalesce(F.sum("merged"), F.lit(0))).first()[0]
-    counts = {"pulled": pulled["n"], "merged": merged, "skipped": pulled["n"] - merged, "superseded": lost.count() if lost is not None else 0}
-    cursor = {f"cursor:{table}": pulled["cursor"]} if pulled["cursor"] is not None else {}
-    return counts if store.apply(batch, {table: winners}, replaced, cursor | (meta or {})) else None
+    with store.scratch(lww_winners(feed, local, key), f"winners-{table}") as winners:  # they are read several times
+        replaced, lost = {}, None
+        if "outbox" in state["tables"]:
+            kept, lost = rebase_outbox(store.table("outbox"), winners.withColumn("table_name", F.lit(table)), key)
+            replaced["outbox"] = kept
+        pulled = feed.agg(F.max("change_seq").alias("cursor"), F.count("*").alias("n")).first()
+        merged = winners.agg(F.coalesce(F.sum("merged"), F.lit(0))).first()[0]
+        counts = {"pulled": pulled["n"], "merged": merged, "skipped": pulled["n"] - merged, "superseded": lost.count() if lost is not None else 0}
+        cursor = {f"cursor:{table}": pulled["cursor"]} if pulled["cursor"] is not None else {}
+        return counts if store.apply(batch, {table: winners}, replaced, cursor | (meta or {})) else None
 
 
 def merge_batch(store: Store, table: str, feed: DataFrame, batch: int) -> bool:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -43,13 +42,6 @@ class Flushed:
     failed: int = 0
 
 
-def _written(store: Store, rows: DataFrame, tag: str) -> tuple[DataFrame, Callable[[], None]]:
-    """Rows on the store's own file system, which all machines see, and what deletes them."""
-    at = f"scratch/{tag}-{uuid.uuid4().hex[:8]}"
-    rows.write.parquet(f"{store.path}/{at}")
-    return store.spark.read.schema(rows.schema).parquet(f"{store.path}/{at}"), lambda: store._fs.delete(store._at(at), True)
-
-
 def pull_table(store: Store, server: Server, table: str, page: int = PAGE, strict: bool = False) -> Pulled:
     """Reads on from the table's cursor, page by page, until a page isn't full. Each page is one commit with its cursor.
 
@@ -58,8 +50,7 @@ def pull_table(store: Store, server: Server, table: str, page: int = PAGE, stric
     out, key = Pulled(), TABLES[table].key
     while True:
         after = store.get(f"cursor:{table}", 0)
-        rows, delete = _written(store, server.fetch_page(table, after, page), f"page-{table}")
-        try:
+        with store.scratch(server.fetch_page(table, after, page), f"page-{table}") as rows:
             if strict and not invalid_feed_rows(rows.withColumn("page", F.lit(0)).withColumn("place", F.col("change_seq")), key).isEmpty():
                 raise SyncError(f"{table}: a row of the page is out of form")
             n = rows.count()
@@ -71,8 +62,6 @@ def pull_table(store: Store, server: Server, table: str, page: int = PAGE, stric
                     raise SyncError(f"{table}: another writer committed meanwhile")
                 for name, number in counts.items():
                     setattr(out, name, getattr(out, name) + number)
-        finally:
-            delete()
         if n < page:
             return out
 
@@ -97,12 +86,10 @@ def flush(store: Store, server: Server, user: str) -> Flushed:
     needs patches the row that is there. A book that the server keeps under another id (`server_id`) is remembered
     before its notes are sent, which then go to that id.
     """
-    outbox = store.table("outbox")
-    groups, delete = _written(store, flush_groups(outbox).where(F.col("table_name").isin(*TABLES)), "flush")
     remap: dict[str, str] = dict(store.get(REMAP, {}))
     failed: dict[str, DataFrame] = {}
     done = None
-    try:
+    with store.scratch(flush_groups(store.table("outbox")).where(F.col("table_name").isin(*TABLES)), "flush") as groups:
         for t in TABLES.values():
             rows = groups.where(F.col("table_name") == t.name).select(F.col("record_id").alias(t.key), "fields", "ids")
             if rows.isEmpty():
@@ -130,17 +117,12 @@ def flush(store: Store, server: Server, user: str) -> Flushed:
                     store.set(**{REMAP: remap})
         if done is None:
             return Flushed()
-        sent, unlist = _written(store, done.select(F.explode("ids").alias("id")), "sent")
-        try:
+        with store.scratch(done.select(F.explode("ids").alias("id")), "sent") as sent:
             result = Flushed(sent.count(), groups.select(F.sum(F.size("ids"))).first()[0])
             result.failed -= result.ok
             if not store.apply(store.state()["batch"] + 1, {}, {"outbox": store.table("outbox").join(sent, "id", "left_anti")}):
                 raise SyncError("another writer committed meanwhile; sent edits stay queued")
-        finally:
-            unlist()
         return result
-    finally:
-        delete()
 
 
 def repointed(rows: DataFrame, remap: dict[str, str]) -> DataFrame:
