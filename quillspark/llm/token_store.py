@@ -8,8 +8,10 @@ stripes, and look a document up by the stripes' statistics, row indexes and Bloo
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +27,26 @@ ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "or
 ROWS = "shard int, doc_id bigint, start_in_shard bigint, n_tokens int, ids array<int>"
 #: Bytes of text that the library encodes in one call, about.
 CALL_BYTES = 1 << 20
+#: Words that the library's own cache holds in a process (10,000 by its default); the ids are the same with any number.
+CACHED_WORDS = 1 << 16
 
 
-def encoder(path: str):
-    """Whole texts to their ids as little-endian bytes, by the library's own pipeline. Equal texts of a batch are encoded once."""
-    import os
-
+@lru_cache(maxsize=1)
+def loaded(path: str, size: int, changed_ns: int):
+    """The tokenizer of a file as it was at that size and time: a worker process keeps it, and the words it has met, from task to task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    if hasattr(tokenizer.model, "_resize_cache"):  # BPE and Unigram have a cache
+        tokenizer.model._resize_cache(CACHED_WORDS)
+    return tokenizer
+
+
+def encoder(path: str):
+    """Whole texts to their ids as little-endian bytes, by the library's own pipeline. Equal texts of a batch are encoded once."""
+    now = os.stat(path)
+    tokenizer = loaded(path, now.st_size, now.st_mtime_ns)
 
     def encode(raw: list[bytes]) -> list[bytes]:
         ids: dict[bytes, bytes] = {}

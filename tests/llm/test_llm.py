@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -294,6 +295,30 @@ def test_token_store_whole_table(spark, tmp_path, file):
     assert sorted(map(tuple, token_store.encoded(docs, path).collect())) == want
 
 
+def test_tokenizer_is_kept_between_tasks(tmp_path, monkeypatch):
+    """A process loads a tokenizer file once, and again when it has changed; more words than the cache holds change no ids."""
+    from tokenizers import Tokenizer
+
+    loads, path = [], tmp_path / "t.json"
+
+    class Counted:
+        @staticmethod
+        def from_file(name):
+            loads.append(name)
+            return Tokenizer.from_file(name)
+
+    monkeypatch.setattr("tokenizers.Tokenizer", Counted)
+    monkeypatch.setattr(token_store, "CACHED_WORDS", 3, raising=False)
+    said = [b"It's", b"", "\u00c9COLE e\u0301 <|endoftext|> 12".encode(), b" ".join(b"word%d some%dthing" % (k, k) for k in range(50))] * 2
+    for n, file in enumerate(["word_bpe_49k.json", "byte_bpe_50k.json"], 1):
+        path.write_bytes(Path(public_tokenizers.path(file)).read_bytes())
+        library = Tokenizer.from_file(str(path))
+        want = [np.array(library.encode(x.decode(), add_special_tokens=False).ids, "<u4").tobytes() for x in said]
+        for _ in range(3):
+            assert token_store.encoder(str(path))(said) == want
+        assert len(loads) == n
+
+
 def test_orc_has_indexes_and_bloom_filters(spark, tmp_path):
     token_store.write(table(spark, SF, "documents"), str(tmp_path / "s"), VOCABULARY)
     part = str(next((tmp_path / "s" / "ids").glob("part-*.orc")))
